@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.llm import topk
 from tessera.llm.bpe import op3_bpe
+from tessera.llm.language import op8_language
 from tessera.llm.token_files import op2_token_files
+from tessera.llm.topk import op7_top_k
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_bpe)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_bpe, op7_top_k, op8_language)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_top_k": topk.ORACLE_SQL}
