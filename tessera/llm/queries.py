@@ -7,7 +7,8 @@ from tessera.llm.bpe import op3_bpe
 from tessera.llm.language import op8_language
 from tessera.llm.token_files import op2_token_files
 from tessera.llm.topk import op7_top_k
+from tessera.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_bpe, op7_top_k, op8_language)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_bpe, op7_top_k, op8_language, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op7_top_k": topk.ORACLE_SQL}
