@@ -114,3 +114,23 @@ def windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
     for k in range(1, size):
         h = mixed(h) + hashes[first + k]
     return mixed(h), n
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether each key occurs twice or more."""
+    s = np.sort(keys)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    out = np.zeros(len(keys), bool)
+    if len(twice):
+        seen = np.zeros(1 << 20, bool)
+        seen[twice >> np.uint64(44)] = True
+        maybe = np.flatnonzero(seen[keys >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(twice, keys[maybe]), len(twice) - 1)
+        out[maybe] = twice[at] == keys[maybe]
+    return out
+
+
+def owned(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes that differ from text to text."""
+    salt = mixed(np.arange(1, len(counts) + 1, dtype=np.uint64) * np.uint64(_BASE))
+    return mixed(hashes ^ np.repeat(salt, counts))
