@@ -21,7 +21,7 @@ LEVELS = (4, 16)
 #: Queries that one pass over the candidates takes; a block of them is what is broadcast.
 QUERY_BLOCK = 8192
 #: Candidates that are compared with a block at once hold about so many pairs.
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 20
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -63,8 +63,10 @@ class Best:
         full = self.least > np.iinfo(np.int64).min
         slack = 1e-9 * np.outer(self.norm, np.sqrt((x**2).sum(1))) + 1e-6 if self.levels and full.any() else None
         if slack is None:
-            a, b = map(np.ravel, np.indices((len(self.q), len(x))))
-            score = products(self.q, x).ravel()
+            every = products(self.q, x)
+            place = max(len(x) - self.k, 0)
+            a, b = np.nonzero(every >= np.partition(every, place, axis=1)[:, place, None])
+            score = every[a, b]
         else:
             least = np.where(full, self.least, -np.inf)[:, None]
             keep = self.levels[0] @ statistics(x, LEVELS[0]).T + slack >= least
@@ -85,7 +87,8 @@ class Best:
                     score[s : s + (1 << 15)] = np.einsum("ij,ij->i", u, v)
         good = score >= self.least[a]
         a, b, score = a[good], b[good], score[good]
-        own = (ids[b] == self.ids[a]) & (self.q[a] == x[b]).all(1)
+        own = ids[b] == self.ids[a]
+        own[own] = (self.q[a[own]] == x[b[own]]).all(1)
         self.rows = np.vstack([self.rows, np.stack([a, score, ids[b], own], 1)])
         self.cut()
 
