@@ -144,7 +144,7 @@ def by_document(values: np.ndarray, sizes: np.ndarray, f: np.ufunc) -> np.ndarra
 
 def tagged(field: Field, emissions: dict, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of all words in a row, and the number of words of each text."""
-    sizes = np.array([len(w) for w in texts])
+    sizes = np.array([len(w) for w in texts], np.int64)
     e = np.array([e for words in texts for e in map(emissions.__getitem__, words)], np.float64)
     first = np.zeros(len(e), bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
