@@ -26,7 +26,7 @@ BUCKETS = 1 << 13
 #: Targets of the query: parts of all tokens.
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 #: The pull towards a rate of 1, the most passes, and the residual (a part of all tokens) at which they end.
-PULL, PASSES, NEAR = 1e-3, 60, 2e-4
+PULL, PASSES, NEAR = 1e-4, 60, 2e-4
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
