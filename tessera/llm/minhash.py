@@ -1,9 +1,10 @@
 """Near-duplicate documents: MinHash signatures in bands, links confirmed on whole sets, connected components.
 
 Documents with equal sets of shingles form a class at once. Each class has 200 minima under universal hashes, in 40 bands of 5; of two sets
-with a similarity of 0.8, 1 pair in 10**7 shares no band. In each bucket every class is first held against one leader (linear in the
+with a similarity of 0.8, 1 pair in 10**7 shares no band. In each bucket every class is first held against two leaders (linear in the
 bucket's size); the components of the confirmed links then leave few buckets with more than one component, and only pairs across components are
-held against each other there. So each pair that shares a band is either linked by a path already or compared.
+held against each other there. So each pair that shares a band is either linked by a path already or compared: first the sizes and a sketch of
+the signatures, within the join, so that only pairs that may be linked become rows; then the whole sets.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from tessera.llm.components import components
 from tessera.llm.token_files import pieces
 
 BANDS, ROWS = 40, 5
-#: Two classes are compared in full unless their signatures agree in a part that is this much lower than the similarity asked for: 7 standard deviations.
-SLACK = 0.2
+#: 64-bit numbers of a sketch. Two classes are compared in full unless so many more bits differ than at the similarity asked for, in standard deviations.
+SKETCH, DEVIATIONS = 3, 7
+#: Sets of so many shingles at most go with their class, so that the join itself compares them in full: short texts with a line in common are alike in part, and many.
+SMALL = 96
+SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH)]
 #: Classes that one task holds against a leader in a row.
 SLOT = 256
 
@@ -75,15 +79,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return textbytes.mixed((textbytes.mixed(rows + _ROW_SEED) * _ROW_SEED).sum(2, dtype=np.uint64) ^ _BAND_SEED).view(np.int64)
 
 
-def sketch(sig: np.ndarray) -> bytes:
-    """A byte of each minimum."""
-    return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+def sketches(sigs: np.ndarray) -> np.ndarray:
+    """Of signatures: a bit of each of 192 minima, as three 64-bit numbers. Bits differ for half of the minima that differ."""
+    bits = ((sigs[:, : 64 * SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
-def alike(a: bytes, b: bytes, percent: int) -> bool:
-    """False only where signatures show that the similarity is below percent."""
-    same = np.count_nonzero(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)) / (BANDS * ROWS)
-    return (same - 1 / 256) / (1 - 1 / 256) >= percent / 100 - SLACK
+def may_link(a: str, b: str, percent: int) -> str:
+    """SQL that is false only where sizes or sketches show that the similarity of two classes is below percent."""
+    bits = 64 * SKETCH
+    apart = (1 - percent / 100) / 2
+    most = int(bits * apart + DEVIATIONS * (bits * apart * (1 - apart)) ** 0.5)
+    differ = " + ".join(f"bit_count({a}s{k} ^ {b}s{k})" for k in range(SKETCH))
+    return f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {differ} <= {most}"
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -103,6 +111,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 sigs = [signature(s) for s in sets]
                 hashes = [set_hash(s) for s in sets]
                 keys = band_keys(np.stack(sigs))
+                bits = sketches(np.stack(sigs))
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("doc_id"),
@@ -110,13 +119,14 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                         pa.array([h[0] for h in hashes], pa.int64()),
                         pa.array([h[1] for h in hashes], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
-                        pa.array([sketch(s) for s in sigs], pa.binary()),
+                        *(pa.array(bits[:, k]) for k in range(SKETCH)),
+                        pa.array([s.view(np.int64) if len(s) <= SMALL else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"],
+                    names=["doc_id", "n_shingles", "h1", "h2", "bands", *SKETCH_COLUMNS, "small"],
                 )
 
     common.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS) + ", small array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -170,24 +180,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a bucket, lie in different components, and whose sizes and signatures allow a link."""
+    """Pairs of classes that share a bucket, lie in different components, and may be linked."""
     placed = members.select("bucket", "cid").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     placed, path = common.written(placed, "placed")
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     split, split_path = common.written(split, "split")
-    rest, rest_path = common.written(placed.join(split, "bucket"), "rest")
-    x, y = rest.toDF("bucket", "a", "ca"), rest.toDF("bucket", "b", "cb")
-    pairs = x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    of = classes.select("cid", "n_shingles", "sketch")
-    pairs = pairs.join(of.toDF("a", "na", "sa"), "a").join(of.toDF("b", "nb", "sb"), "b")
-    pairs = pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [alike(a, b, percent) for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    found, _ = common.written(pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "across")
+    rest = placed.join(split, "bucket").join(classes.select("cid", F.col("n_shingles").alias("n"), *SKETCH_COLUMNS, "small"), "cid")
+    rest, rest_path = common.written(rest, "rest")
+    both = "size(array_intersect(x.small, y.small))"
+    whole = f"(x.small IS NULL OR y.small IS NULL OR 100 * {both} >= {percent} * (x.n + y.n - {both}))"
+    pairs = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket AND x.cid < y.cid AND x.component <> y.component AND {may_link('x.', 'y.', percent)} AND {whole}"))
+    found, _ = common.written(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "across")
     common.drop(members.sparkSession, path, split_path, rest_path)
     return found
 
@@ -204,26 +207,39 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     docs = df.select("doc_id", "text")
     every, _ = common.written(signed(docs, size), "signed")
     some = every.filter("n_shingles > 0")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH_COLUMNS, "small")))
     classes, classes_path = common.written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    buckets = classes.select("cid", F.explode("bands").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
+    buckets = classes.select("cid", F.col("n_shingles").alias("n"), *SKETCH_COLUMNS, F.explode("bands").alias("bucket"))
+    own = F.struct("cid", "n", *SKETCH_COLUMNS)
+    leaders = buckets.groupBy("bucket").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo.cid <> hi.cid")
     leaders, leaders_path = common.written(leaders, "leaders")
-    members, members_path = common.written(buckets.join(leaders, "bucket"), "members")
-    wanted = classes.join(members.select("cid").distinct(), "cid").select("cid", "doc_id", "h1", "h2")
-    sets, sets_path = common.written(whole_sets(docs.filter("doc_id IS NOT NULL"), wanted, size), "sets")
-    first = members.filter("cid <> leader").groupBy("cid").agg(F.min("leader").alias("a")).select("a", F.col("cid").alias("b"))
-    links = confirmed(first, sets, percent)
+    near = [F.when(F.expr(f"{leader}.cid <> cid AND " + may_link("", f"{leader}.", percent)), F.col(f"{leader}.cid")).alias(f"by_{leader}") for leader in ("lo", "hi")]
+    members, members_path = common.written(buckets.join(leaders, "bucket").select("bucket", "cid", *near), "members")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        wanted, wanted_path = common.written(classes.join(ids, "cid").select("cid", "doc_id", "h1", "h2"), "wanted")
+        sets, sets_path = common.written(whole_sets(docs.filter("doc_id IS NOT NULL"), wanted, size), "sets")
+        found = confirmed(pairs, sets, percent)
+        common.drop(spark, wanted_path, sets_path)
+        return found
+
+    led = members.select("cid", F.explode(F.array("by_lo", "by_hi")).alias("leader")).filter("leader IS NOT NULL")
+    first, first_path = common.written(led.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct(), "led")
+    links = links_of(first)
     labels, labels_path = common.written(components(links).toDF("cid", "component"), "labels")
-    more = confirmed(across(members, classes, labels, percent), sets, percent)
-    if more.head(1):
-        labels, labels_path = common.written(components(links.union(more)).toDF("cid", "component"), "labels")
+    crossing = across(members, classes, labels, percent)
+    common.drop(spark, leaders_path, members_path, first_path)
+    if crossing.head(1):
+        labels, new_path = common.written(components(links.union(links_of(crossing))).toDF("cid", "component"), "labels")
+        common.drop(spark, labels_path)
+        labels_path = new_path
     placed = classes.select("cid", "h1", "h2", "doc_id").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     placed, placed_path = common.written(placed, "placed")
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     least, least_path = common.written(least, "least")
     ids, _ = common.written(placed.join(least, "component").select("h1", "h2", "component_id"), "ids")
-    common.drop(spark, classes_path, leaders_path, members_path, sets_path, labels_path, placed_path, least_path)
+    common.drop(spark, classes_path, labels_path, placed_path, least_path)
     joined = every.select("doc_id", "n_shingles", "h1", "h2").join(ids, ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
