@@ -134,6 +134,54 @@ def test_lm_score(edge, nothing):
     assert {r.train_tokens for r in attention.score(edge.limit(2), F.lit(False)).collect()} == {0}
 
 
+def test_lm_learns_from_all_training_rows(spark):
+    from tessera.llm import subwords
+
+    path, rng = subwords.default_path(), np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["red", "green", "blue", "stone", "river", "cloud"], 30)) for _ in range(60)] + ["zebra quartz"] * 3 + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = attention.word_counts(df)
+    model = attention.fit(df, counts, len(texts), path, sample=0)  # the start has no text at all
+    stream, sizes = attention.streams_of([t or "" for t in texts], path)
+    found = np.unique(stream)
+    assert (model.class_of[found] != attention.CLASSES - 1).all()
+    plain = np.zeros((len(model.embed), 2 * attention.COLUMNS), np.int64)
+    for t in texts:
+        attention.add_neighbours(plain, attention.streams_of([t or ""], path)[0], attention.column_of(np.bincount(stream, minlength=len(model.embed))))
+    n_docs = Counter({attention.END: len(texts)})
+    id_counts = attention.subword_counts(counts, path, len(model.embed)) + np.bincount(list(n_docs), list(n_docs.values()), len(model.embed)).astype(int)
+    assert (attention.neighbours_of(df, id_counts, path).sum(0) > 0).sum() == (plain.sum(0) > 0).sum()
+    fresh = attention.train([], id_counts, neighbours=attention.neighbours_of(df, id_counts, path))
+    assert (model.embed[found] != fresh.embed[found]).any(1).all()
+    at, real = attention.laid_out(sizes, attention.WINDOW)
+    loss = lambda m: -np.log(np.take_along_axis(softmax(m.attend(stream[at])[0] @ m.out + m.bias), m.class_of[stream[at + 1]][:, :, None], 2)[:, :, 0][real]).mean()
+    assert loss(model) < loss(fresh) - 0.1
+
+
+def softmax(x):
+    e = np.exp(x - x.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+def test_gradients_are_differences():
+    rng = np.random.default_rng(8)
+    ids, real = rng.integers(0, 40, (3, attention.WINDOW)), rng.random((3, attention.WINDOW)) < 0.7
+    m = attention.untrained(np.arange(attention.END + 1) % attention.CLASSES, np.ones(attention.END + 1, np.int64), rng)
+    for name in (*attention.WEIGHTS, "embed"):
+        setattr(m, name, getattr(m, name).astype(np.float64))
+    y = m.class_of[rng.integers(0, 40, ids.shape)]
+    loss = lambda: -np.log(np.take_along_axis(softmax(m.attend(ids)[0] @ m.out + m.bias), y[:, :, None], 2)[:, :, 0])[real].sum()
+    g, dx = attention.gradients(m, ids, y, real)
+    rows, _, g["embed"] = attention.by_id(ids, dx)
+    for name, grad in g.items():
+        w, k = getattr(m, name), (rows[0] if name == "embed" else 0)
+        w[k] += 1e-5
+        up = loss()
+        w[k] -= 2e-5
+        assert np.isclose((up - loss()) / 2e-5, grad[0].sum(), atol=1e-4), name
+        w[k] += 1e-5
+
+
 def test_attention_is_causal_and_scores_each_id_once():
     rng = np.random.default_rng(5)
     counts = np.ones(attention.END + 1, np.int64)
