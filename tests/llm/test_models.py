@@ -163,6 +163,31 @@ def softmax(x):
     return e / e.sum(-1, keepdims=True)
 
 
+def test_lm_scores_do_not_depend_on_other_texts(spark, edge):
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, 50, n) for n in (0, 1, 7, 31, 32, 33, 40, 100, 5)]
+    whole = np.concatenate([[attention.END], *([*t, attention.END] for t in texts)]).astype(np.int64)
+    model = attention.train([whole], np.ones(attention.END + 1, np.int64), epochs=1)
+    logs, at = model.log10_ids(whole, np.array([len(t) + 1 for t in texts])), 1
+    for t in texts:
+        alone = model.log10_ids(np.array([attention.END, *t, attention.END]))
+        assert (alone[1:] < 0).all() and np.allclose(logs[at : at + len(t) + 1], alone[1:], atol=1e-5)
+        at += len(t) + 1
+    training = F.coalesce(F.col("doc_id"), F.lit(-1)) % 2 == 0
+    docs = edge.unionAll(edge.filter("doc_id < 8")).select("doc_id", "text").cache()
+    plain = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in attention.score(df, training).collect())
+    one = plain(docs)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    two = plain(docs.repartition(7, "text"))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r[:3] for r in one] == [r[:3] for r in two] and np.allclose([r[3] for r in one], [r[3] for r in two], rtol=1e-4)
+    of: dict = {}
+    for r in one:
+        of.setdefault(r[:3], []).append(r[3])
+    assert sum(len(s) > 1 for s in of.values()) >= 6 and all(np.allclose(s, s[0], rtol=1e-6) for s in of.values())
+
+
 def test_gradients_are_differences():
     rng = np.random.default_rng(8)
     ids, real = rng.integers(0, 40, (3, attention.WINDOW)), rng.random((3, attention.WINDOW)) < 0.7
