@@ -1,9 +1,10 @@
 """Quality rules: a base of counts, and bands of n-gram perplexity for each language.
 
-The language model is modified Kneser-Ney over character classes (48 symbols, order 4), so that the n-grams of a language are at most 48**4 however
-large the corpus is. Spark counts them over all documents. A model is a sorted array of the seen n-grams with their logarithms, and the
-tables of the lower orders; a worker spreads it over a table of all n-grams once. Documents whose perplexity is outside the band
-of their language (median and quartiles over all documents that pass the base) are rejected: above it is noise, below it repetition.
+The language model is modified Kneser-Ney over characters (80 symbols: each letter a-z and each ASCII mark has its own; order 4), so that the n-grams of
+a language are at most 80**4 however large the corpus is. Spark counts them over all documents. A model is a sorted array of the seen n-grams with
+their logarithms, and the tables of the lower orders; a worker spreads it over a table of all seen contexts once. Documents whose perplexity is outside the band
+of their language (median and quartiles over all documents that pass the base) are rejected: above it is noise, below it repetition. There are
+two bands: by character, and by word, as marks that many words carry are cheap by character but make each word dear.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 from tessera.llm import common, textbytes
 from tessera.llm.token_files import pieces
 
-SYMBOLS, ORDER = 48, 4
+SYMBOLS, ORDER = 80, 4
 #: Languages that have a model of their own, the most frequent ones; documents of all others share one more.
 MAX_LANGUAGES = 8
 OTHER = ""
-#: Half-widths of the band above and below the median, in units of the standard deviation that the quartiles imply.
-ABOVE, BELOW = 5.0, 7.0
+#: Half-widths of the bands above and below the median, by character and by word, in units of the standard deviation that the quartiles imply; set
+#: where labelled low documents of the 0.1 table that pass the base leave the clean ones.
+ABOVE, BELOW, WORD_ABOVE, WORD_BELOW = 3.5, 5.0, 4.0, 3.0
 #: Characters that are given to one language together; texts that are not much longer than SHORT get a wider band.
 BLOCK, SHORT = 48, 300
 #: n-grams that are gathered before they are added up.
@@ -37,27 +39,27 @@ _class: list[np.ndarray] = []
 
 
 def symbol_table() -> np.ndarray:
-    """The symbol of each code point: 1-26 a-z in either case, 27-38 other letters, 39 digits, 40 white space, 41 and 42 `.` and `,`, 43-46 other ASCII, 47 the rest. 0 stands before a text."""
+    """The symbol of each code point: 1-26 a-z in either case, 27-44 other letters, 45 digits, 46 white space, 47-78 ASCII marks, 79 the rest. 0 stands before a text."""
     if not _class:
-        table = np.full(0x110000, 47, np.uint8)
+        table = np.full(0x110000, 79, np.uint8)
+        marks = [c for c in range(33, 127) if not chr(c).isalnum()]
         for c in range(0x110000):
             ch = chr(c).lower()[0]
             if "a" <= ch <= "z":
                 table[c] = ord(ch) - 96
             elif ch.isalpha():
-                table[c] = 27 + ord(ch) % 12
+                table[c] = 27 + ord(ch) % 18
             elif ch.isdigit():
-                table[c] = 39
+                table[c] = 45
             elif ch.isspace():
-                table[c] = 40
-            elif c < 128:
-                table[c] = {".": 41, ",": 42}.get(ch, 43 + c % 4)
+                table[c] = 46
+        table[marks] = 47 + np.arange(len(marks))
         _class.append(table)
     return _class[0]
 
 
 def ngram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, in base 48, and how many characters each text has."""
+    """The n-gram that ends at each character, in base SYMBOLS, and how many characters each text has."""
     pad = "\0" * (ORDER - 1)
     points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), "<u4")
     counts = np.array([len(t) for t in texts])
@@ -86,6 +88,16 @@ class NGramModel:
         out[self.codes] = self.logs
         return out
 
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same, for the contexts that were seen only: the row of each context of three, and log10 p of each symbol in each row. Others have the row of their last two."""
+        lower = self.lower.reshape(-1, SYMBOLS)
+        context, index = np.unique(self.codes // SYMBOLS, return_inverse=True)
+        row = np.arange(SYMBOLS ** (ORDER - 1), dtype=np.int32) % len(lower)
+        row[context] = len(lower) + np.arange(len(context))
+        seen = self.rest[context][:, None] + lower[context % len(lower)]
+        seen[index, self.codes % SYMBOLS] = self.logs
+        return row, np.concatenate([lower, seen]).ravel()
+
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """D(1), D(2), D(3 or more) of modified Kneser-Ney; usual values where counts of counts are missing."""
@@ -159,7 +171,7 @@ def base_counts(texts: list[str]) -> dict[str, np.ndarray]:
     }
 
 
-def block_logs(texts: list[str], tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def block_logs(texts: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The sum of log10 p over each text, each block of BLOCK characters by the language that explains it best, and the characters of each text.
 
     So a passage in another language than the document's is no noise.
@@ -168,8 +180,9 @@ def block_logs(texts: list[str], tables: list[np.ndarray]) -> tuple[np.ndarray,
     blocks = -(-counts // BLOCK)
     first = np.repeat(np.cumsum(counts) - counts, blocks) + BLOCK * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
     best = np.full(len(first), -np.inf)
-    for table in tables if len(first) else ():
-        np.maximum(best, np.add.reduceat(table[codes], first, dtype=np.float64), out=best)
+    context, symbol = np.divmod(codes, SYMBOLS)
+    for row, table in tables if len(first) else ():
+        np.maximum(best, np.add.reduceat(table[row[context] * SYMBOLS + symbol], first, dtype=np.float64), out=best)
     return textbytes.sums(best, blocks), counts
 
 
@@ -180,15 +193,17 @@ def count_ngrams(df: DataFrame) -> DataFrame:
     """language, code, n over all texts of df(text, language)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # sorted codes, counts
         waiting: dict[str, list[str]] = {}
         size: dict[str, int] = {}
 
         def add(language: str) -> None:
             codes, _ = ngram_codes(waiting.pop(language))
-            if language not in total:
-                total[language] = np.zeros(SYMBOLS**ORDER, np.int64)
-            total[language] += np.bincount(codes, minlength=SYMBOLS**ORDER)
+            some, n = np.unique(codes, return_counts=True)
+            if language in total:
+                some, back = np.unique(np.concatenate([total[language][0], some]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([total[language][1], n]), len(some)).astype(np.int64)
+            total[language] = some, n
             size[language] = 0
 
         for batch in batches:
@@ -199,11 +214,10 @@ def count_ngrams(df: DataFrame) -> DataFrame:
                     add(language)
         for language in list(waiting):
             add(language)
-        for language, table in total.items():
-            seen = np.flatnonzero(table)
+        for language, (seen, n) in total.items():
             for k in range(0, len(seen), 1 << 16):
                 some = seen[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([language] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(table[some])], names=["language", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[k : k + (1 << 16)])], names=["language", "code", "n"])
 
     counted = df.select("text", "language").mapInArrow(run, "language string, code int, n long")
     return counted.groupBy("language", "code").agg(F.sum("n").alias("n"))
@@ -228,14 +242,14 @@ def scored(df: DataFrame, models: dict[str, NGramModel]) -> DataFrame:
     """doc_id, language, the counts, base_failed and perplexity (log10, a character; null without characters) of each row of df(doc_id, text, lang)."""
     spark = df.sparkSession
     held = spark.sparkContext.broadcast(models)
-    kept: dict[str, np.ndarray] = {}
+    kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, found in pieces(batch, at_once=2_000_000) if batch.num_rows else ():
                 base = base_counts(found)
                 if not kept:
-                    kept.update({k: m.table() for k, m in held.value.items()})
+                    kept.update({k: m.rows() for k, m in held.value.items()})
                 total, counts = block_logs(found, list(kept.values()))
                 mean = -total / np.maximum(counts, 1)
                 failed = (base["n_words"] < 10) | (100 * base["n_repeat_words"] > 20 * base["n_words"])
@@ -248,19 +262,22 @@ def scored(df: DataFrame, models: dict[str, NGramModel]) -> DataFrame:
     return with_language(df.select("doc_id", "text", "lang"), sorted(k for k in models if k != OTHER)).select("doc_id", "text", "language").mapInArrow(run, f"doc_id long, language string, {counts}, base_failed boolean, perplexity double, n_chars long")
 
 
-def judged(df: DataFrame, above: float = ABOVE, below: float = BELOW) -> DataFrame:
+def judged(df: DataFrame, above: float = ABOVE, below: float = BELOW, word_above: float = WORD_ABOVE, word_below: float = WORD_BELOW) -> DataFrame:
     """doc_id, the counts, base_failed, perplexity and kept for each row of df(doc_id, text, lang); extra columns are ignored.
 
-    base_failed: fewer than 10 words, or over 20 % of the words in repeated windows. Of the others those are kept whose perplexity lies in the band of
-    their language. A null or empty text fails the base. Documents without a language (null, or a rare one) are judged by a model of their
-    own. Repeated rows get the same verdict; an empty table gives no rows.
+    base_failed: fewer than 10 words, or over 20 % of the words in repeated windows. Of the others those are kept whose perplexity by character and by
+    word lies in the bands of their language. A null or empty text fails the base. Documents without a language (null, or a rare one) are judged
+    by a model of their own. Repeated rows get the same verdict; an empty table gives no rows.
     """
     scores, _ = common.written(scored(df, fit(df)), "quality")
-    quartiles = scores.filter("NOT base_failed").groupBy("language").agg(F.percentile_approx("perplexity", [0.25, 0.5, 0.75], 10000).alias("q"))
-    width = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(1e-6))
-    bands = quartiles.select("language", F.col("q")[1].alias("median"), width.alias("width"))
-    away = (F.col("perplexity") - F.col("median")) / F.col("width") * F.sqrt(F.col("n_chars") / (F.col("n_chars") + SHORT))
-    verdict = ~F.col("base_failed") & F.coalesce(away.between(-below, above), F.lit(False))
+    scores = scores.withColumn("by_word", F.when(F.col("n_words") > 0, F.col("perplexity") * F.col("n_chars") / F.col("n_words")))
+    measures = {"perplexity": (above, below), "by_word": (word_above, word_below)}
+    bands = scores.filter("NOT base_failed").groupBy("language").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(f"{c}_q") for c in measures))
+    verdict = ~F.col("base_failed")
+    for c, (up, down) in measures.items():
+        q = F.col(f"{c}_q")
+        away = (F.col(c) - q[1]) / F.greatest((q[2] - q[0]) / 1.349, F.lit(1e-6)) * F.sqrt(F.col("n_chars") / (F.col("n_chars") + SHORT))
+        verdict &= F.coalesce(away.between(-down, up), F.lit(False))
     return scores.join(F.broadcast(bands), "language", "left").select("doc_id", *COUNTS, "base_failed", verdict.alias("kept"), "perplexity")  # at most MAX_LANGUAGES + 1 bands
 
 

@@ -82,6 +82,20 @@ def test_noise_is_rejected(spark, data):
     assert found[found.quality == 1].kept.mean() > 0.95 and found[found.quality == 0].kept.mean() < 0.7
 
 
+def test_low_documents_that_pass_the_base_are_rejected(spark, data):
+    data = data.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    found = quality.op4_quality(spark, data).join(labels, "doc_id").filter("NOT base_failed").toPandas()
+    assert found[found.quality == 1].kept.mean() > 0.97 and found[found.quality == 0].kept.mean() < 0.3
+    assert len(set(quality.symbol_table()[[ord(c) for c in "#$%&*|.,!?-"]])) == 11
+    codes, _ = quality.ngram_codes(["the cat sat on the mat, and the dog too. " * 5, "### $$$ other"])
+    count = np.bincount(codes)
+    model = quality.kneser_ney(np.flatnonzero(count), count[count > 0])
+    row, table = model.rows()
+    some = np.concatenate([codes, np.random.default_rng(1).integers(0, quality.SYMBOLS**quality.ORDER, 2000)])
+    assert np.allclose(model.table()[some], table[row[some // quality.SYMBOLS] * quality.SYMBOLS + some % quality.SYMBOLS], atol=1e-5)
+
+
 def test_toxicity(spark, data, edge, nothing):
     data = data.replace("sf0.001", "sf0.01")  # the smallest table has too few toxic documents to learn from
     labels = spark.read.parquet(f"{data}/labels.parquet")
