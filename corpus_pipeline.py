@@ -3,6 +3,9 @@ weights and encoded."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +34,26 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return one.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
 
 
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without spans of its bytes, in order, and without the characters that their borders go through."""
+    data, at, kept = text.encode("utf-8"), 0, []
+    for start, end in [*spans, (None, None)]:
+        kept.append(data[at:start].decode("utf-8", "ignore"))  # each run of a valid text is valid but for its ends
+        at = end
+    return "".join(kept)
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; n_chars follows. A character that a cut goes through goes too. All rows stay."""
     keyed = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
-    left = F.regexp_replace(F.expr("make_valid_utf8(cast(kept_bytes as string))"), "�", "")
-    text = F.when(F.col("n_removed") > 0, left).otherwise(F.col("_doc.text"))
-    cut = substrings.without_repeats(keyed).select("_doc", text.alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [without(t, [(s["start"], s["end"]) for s in spans]) if spans else t for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(left, pa.string())], names=["_doc", "_text"])
+
+    found = substrings.without_repeats(keyed).select("_doc", "text", "spans")
+    cut = found.mapInArrow(run, f"_doc {found.schema['_doc'].dataType.simpleString()}, _text string")
     new = {"text": F.col("_text"), "n_chars": F.char_length(F.coalesce("_text", F.lit(""))).cast("long")}
     return cut.select(*(new[c].alias(c) if c in new else F.col("_doc")[c].alias(c) for c in docs.columns))
 

@@ -69,3 +69,12 @@ def test_edges(edge, edge_texts, spark, data):
     got = Counter(r.doc_id for r in kept.collect())
     assert set(got) - {None} == want and got[None] == 1 and got[5] == 1
     assert p.cut_repeats(spark, edge, data).count() == 16
+
+
+def test_cut_keeps_replacement_characters(spark, data):
+    passage = "".join(chr(0xE0 + k % 30) + str(k) for k in range(150))
+    rows = [(1, "\ufffd one é" + passage + "è two \ufffd"), (2, "ü three" + passage + "four"), (3, None), (4, "\ufffd")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.cut_repeats(spark, docs, data).collect()}
+    assert got == {1: ("\ufffd one éè two \ufffd", 14), 2: ("ü threefour", 11), 3: (None, 0), 4: ("\ufffd", 1)}
+    assert p.without("aéb", [(2, 3)]) == "ab" and p.without("éaé", [(1, 4)]) == ""  # no character from the halves of two
