@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that one Arrow batch carries to Python; texts can be long, so far fewer than Spark's default.
 BATCH_ROWS = 256
@@ -79,6 +80,11 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+def schema_with(df: DataFrame, extra: str) -> T.StructType:
+    """The columns of df, whatever their names, and those of a DDL string."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields] + T.StructType.fromDDL(extra).fields)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Nulls as empty texts."""
     return [x or "" for x in column.to_pylist()]

@@ -33,7 +33,7 @@ SCHEMA = T.StructType(
 )
 
 #: Characters that are encoded together in a task.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 _encoders: dict = {}
 
