@@ -7,9 +7,10 @@ A byte goes if a string of 200 bytes that covers it also starts somewhere else.
 2. a run whose whole text occurs again is repeated as a whole; counts of hashes tell;
 3. distinct texts of runs with the same anchor meet in a shard. There, suffix arrays (Larsson and Sadakane) with common prefixes (Kasai) tell
    the windows that occur again. The runs of a very frequent anchor are split over several shards; each sends on the sorted windows that
-   it couldn't decide alone, and these are merged by binary search, in ranges of their hashes.
+   it couldn't decide alone, each once, and these are merged by binary search, in ranges of their hashes.
 
-Everything is exact up to collisions of hashes of 128 bits (64 bits besides an equal anchor). Passages never leave their document.
+Everything is exact up to collisions of hashes of 128 bits (64 bits besides an equal anchor); hashes go through permutations at each step, so no pattern of
+bytes cancels out. Passages never leave their document.
 """
 
 from __future__ import annotations
@@ -28,14 +29,35 @@ from tessera.llm.suffixes import common_prefixes, suffix_array
 ANCHOR, PARTS = 64, 4
 #: Distinct runs of one anchor that a shard takes.
 SHARD_RUNS = 512
-#: Bytes that one suffix array holds, about.
-ARRAY_BYTES = 4 << 20
-#: Ranges of hashes in which the windows of split anchors are merged.
-RANGES = 256
+#: Bytes that one suffix array holds, about, and of texts whose anchors are found together.
+ARRAY_BYTES, PIECE = 1 << 20, 1 << 19
+#: Shards of a split anchor for each range of hashes in which their windows are merged.
+SHARDS_A_RANGE = 4
 
 U = np.uint64
 
 
+def anchor_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ANCHOR bytes from each place on: of 8 bytes, then of two halves again and again."""
+    h = textbytes.mixed(textbytes.words_at(data)[: max(len(data) - 7, 0)] + U(0x9E3779B97F4A7C15))
+    size = 8
+    while size < ANCHOR:
+        h = textbytes.mixed(h[: max(len(h) - size, 0)] * U(0x9FB21C651E98DF25) + h[size:])
+        size *= 2
+    return h
+
+
+def long_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each span a..b of ANCHOR bytes or more, from the hashes h of all anchors: side by side, and the last that fits."""
+    out = textbytes.mixed((b - a).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    live, at = np.arange(len(a)), a
+    while len(live):
+        out[live] = textbytes.mixed(out[live] * U(0x9FB21C651E98DF25) ^ h[at])
+        more = at + 2 * ANCHOR <= b[live]
+        live, at = live[more], at[more] + ANCHOR
+    return textbytes.mixed(out * U(0x9FB21C651E98DF25) ^ h[b - ANCHOR])
+
+
 def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
     m, s = h, 1
     while s * 2 <= w:
@@ -51,9 +73,7 @@ def anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -
     long = np.flatnonzero(end - start >= length)
     if not len(long):
         return none
-    p = textbytes.prefix_sums(data)
-    inverse = textbytes.powers(len(data) + 1)[1]
-    h = textbytes.mixed((p[ANCHOR:] - p[:-ANCHOR]) * inverse[: len(data) - ANCHOR + 1])
+    h = anchor_hashes(data)
     low = U((1 << 24) - 1)
     least = sliding_least((h & ~low) | np.arange(len(h), dtype=U), length - ANCHOR + 1)
     n = end[long] - start[long] - length + 1
@@ -64,22 +84,21 @@ def anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -
     last = np.append(first[1:], len(at)) - 1
     at, w0, w1 = at[first], window[first], window[last]
     text = np.searchsorted(end, at, "right")
-    run = textbytes.mixed((p[w1 + length] - p[w0]) * inverse[w0] + (at - w0).astype(U) * U(0xC2B2AE3D27D4EB4F) + (w1 - w0).astype(U) * U(0x165667B19E3779F9))
+    run = textbytes.mixed(long_hashes(h, w0, w1 + length) + (at - w0).astype(U) * U(0xC2B2AE3D27D4EB4F) + (w1 - w0).astype(U) * U(0x165667B19E3779F9))
     return {"text": text, "place": at - start[text], "first": at - w0, "last": at - w1, "fp": h[at].view(np.int64), "run": run.view(np.int64)}
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
     """d, k, fp, run, place, first, last for each run of windows of docs(d, k, text)."""
     names = ["d", "k", "fp", "run", "place", "first", "last"]
-    most = 1 << 22
 
     def group(rows: pa.RecordBatch, some: list[int], found: list[bytes]) -> Iterator[pa.RecordBatch]:
         d, k = (rows.column(c).to_numpy()[some] for c in ("d", "k"))
         data = np.frombuffer(b"".join(found), np.uint8)
         end = np.cumsum([len(x) for x in found])
         start = end - np.array([len(x) for x in found])
-        for a in range(0, max(len(data) - length + 1, 0), most):  # long texts: pieces of windows, each with the bytes after them
-            b = min(len(data), a + most + length - 1)
+        for a in range(0, max(len(data) - length + 1, 0), PIECE):  # long texts: pieces of windows, each with the bytes after them
+            b = min(len(data), a + PIECE + length - 1)
             s, e = np.clip(start, a, b) - a, np.clip(end, a, b) - a
             got = anchors(data[a:b], s, e, length)
             t = got["text"]
@@ -95,7 +114,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                     some.append(i)
                     found.append(data)
                     size += len(data)
-                if size > 1 << 21:
+                if size > PIECE:
                     yield from group(batch, some, found)
                     some, found, size = [], [], 0
             if some:
@@ -109,8 +128,12 @@ def run_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     names = ["fp", "run", "shard", "shards", "n", "first", "last", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for text, runs in zip(common.texts(batch.column("text")), batch.column("runs")):
+            for key, text, runs in zip(zip(batch.column("d").to_pylist(), batch.column("k").to_pylist()), common.texts(batch.column("text")), batch.column("runs")):
+                if key in seen:  # a repeated row
+                    continue
+                seen.add(key)
                 data = text.encode("utf-8", "surrogatepass")
                 flat = runs.values.flatten()
                 fields = dict(zip([f.name for f in runs.values.type], flat))
@@ -118,7 +141,7 @@ def run_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 found = [data[a:b] for a, b in zip((place - first).tolist(), (place - last + length).tolist())]
                 yield pa.RecordBatch.from_arrays([fields[c] for c in names[:-1]] + [pa.array(found, pa.binary())], names=names)
 
-    return docs.join(wanted, ["d", "k"]).select("text", "runs").mapInArrow(run, "fp long, run long, shard int, shards int, n long, first int, last int, bytes binary")
+    return docs.join(wanted, ["d", "k"]).select("d", "k", "text", "runs").mapInArrow(run, "fp long, run long, shard int, shards int, n long, first int, last int, bytes binary")
 
 
 class Shard:
@@ -132,12 +155,11 @@ class Shard:
         self.windows = first - last + 1
         self.w_start = np.cumsum(self.windows) - self.windows  # each run's windows in `repeated`
         self.repeated = np.repeat(n > 1, self.windows)
-        self.sums = textbytes.prefix_sums(self.data)
-        self.inverse = textbytes.powers(len(self.data) + 1)[1]
+        self.anchors = anchor_hashes(self.data)
         self.fp, self.first, self.last, self.n = fp, first, last, n
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return textbytes.mixed((self.sums[b] - self.sums[a]) * self.inverse[a])
+        return long_hashes(self.anchors, a, b)
 
     def units(self) -> dict[str, np.ndarray]:
         """Each run cut by the offset of the anchor into PARTS; a window of a part contains the part's core, so a part whose core no other run has is done."""
@@ -206,6 +228,11 @@ class Shard:
         return textbytes.mixed(self.hashes(a, a + self.length) ^ np.repeat(textbytes.mixed(self.fp.view(U)), self.windows))
 
 
+def range_bits(shards: int) -> int:
+    """The ranges of hashes for the windows of an anchor in so many shards are this power of two."""
+    return max(0, -(-shards // SHARDS_A_RANGE) - 1).bit_length()
+
+
 FOUND = "fp long, run long, shard int, part int, id int, windows binary, low binary, hashes binary, own binary"
 
 
@@ -229,8 +256,9 @@ def solved(runs: DataFrame, length: int) -> DataFrame:
         place = np.arange(len(hashes)) - np.repeat(s.w_start, s.windows)
         for key in np.unique(fp[shards > 1]):
             at = np.flatnonzero(split & (fp[owner] == key))
-            at = at[np.argsort(hashes[at], kind="stable")]
-            for part, some in enumerate(np.split(at, np.searchsorted(hashes[at], (np.arange(1, RANGES, dtype=U) * U(1 << 56)) * U(256 // RANGES)))):
+            at = at[np.unique(hashes[at], return_index=True)[1]]  # sorted; those that occur again here are known to be repeated
+            bits = range_bits(int(shards[owner[at[0]]]))
+            for part, some in enumerate(np.split(at, np.searchsorted(hashes[at], np.arange(1, 1 << bits, dtype=U) << U(64 - bits)) if bits else [])):
                 if len(some):
                     told = [run[owner[some]].astype("<i8").tobytes(), place[some].astype("<i4").tobytes(), hashes[some].astype("<u8").tobytes(), s.repeated[some].tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([0], pa.int64()), pa.array([shard[owner[some[0]]]], pa.int32()), pa.array([part], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in told)], names=[f.split()[0] for f in FOUND.split(", ")])
@@ -338,11 +366,13 @@ def find_repeats(docs: DataFrame, length: int) -> DataFrame:
     often, often_path = common.written(every.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp"), "often")
     rows, rows_path = common.written(every.join(often, "fp"), "repeated-anchors")
     common.drop(spark, every_path, often_path)
-    kinds = rows.groupBy("fp", "run").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "place", "first", "last")).alias("at"))
+    at = F.xxhash64("d", "k", "place")  # one row stands for all with a run; first and last are alike in all
+    one = [F.min_by(c, at).alias(c) for c in ("d", "k", "place")] + [F.min(c).alias(c) for c in ("first", "last")]
+    kinds = rows.groupBy("fp", "run").agg(F.count("*").alias("n"), *one)
     kinds, kinds_path = common.written(kinds, "runs")
     groups, groups_path = common.written(kinds.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("fp", F.ceil(F.col("kinds") / SHARD_RUNS).cast("int").alias("shards")), "groups")
     some = kinds.join(groups, "fp").withColumn("shard", F.pmod(F.xxhash64("run"), F.col("shards")).cast("int"))
-    wanted = some.select("at.d", "at.k", F.struct("fp", "run", "shard", "shards", "n", "at.place", "at.first", "at.last").alias("r")).groupBy("d", "k").agg(F.collect_list("r").alias("runs"))
+    wanted = some.select("d", "k", F.struct("fp", "run", "shard", "shards", "n", "place", "first", "last").alias("r")).groupBy("d", "k").agg(F.collect_list("r").alias("runs"))
     wanted, wanted_path = common.written(wanted, "wanted")
     texts, texts_path = common.written(run_texts(docs, wanted, length), "run-texts")
     found, found_path = common.written(solved(texts, length), "solved")
@@ -354,7 +384,7 @@ def find_repeats(docs: DataFrame, length: int) -> DataFrame:
     spans = intervals(rows.join(single, ["fp", "run"]), length)
     spans, spans_path = common.written(spans, "spans")
     common.drop(spark, kinds_path, found_path, hits_path, rows_path, single_path)
-    out, _ = common.written(spans.groupBy("d", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "removed")
+    out, _ = common.written(spans.groupBy("d", "k").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "removed")
     common.drop(spark, spans_path)
     return out
 
@@ -403,7 +433,7 @@ def without_repeats(df: DataFrame, length: int = 200) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(columns[c], k) for c, k in zip(new, kinds))], names=["_row", *new])
 
-    schema = f"_row {joined.schema['_row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept_bytes binary"
+    schema = common.schema_with(joined.select("_row"), "n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept_bytes binary")
     common.small_batches(spark)
     return joined.mapInArrow(run, schema).select("_row.*", *new)
 

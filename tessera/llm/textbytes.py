@@ -5,6 +5,8 @@ Texts lie in one buffer, each followed by a line end, which no word or line cros
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: White space of words: space and the control characters from tab to carriage return.
@@ -14,23 +16,13 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-#: Bytes that are hashed with one run of powers.
-BLOCK = 1 << 21
+_SALT = 0x9E3779B97F4A7C15
 
+#: Longer spans are hashed by blake2b, one by one; others eight bytes at a time, all spans together.
+LONG = 256
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base, and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, min(2 * len(_powers[0]), BLOCK))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+#: By the bytes that are left of a span: the bits of an 8-byte number that belong to it.
+_INSIDE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,26 +35,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """P with P[b] - P[a] = sum of (byte + 1) * base**i for a <= i < b."""
-    p = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)], out=p[1:])
-    return p
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a little-endian number, zeros after the end; a view of one padded copy."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each span of bytes, mixed with its length. Spans are in ascending order; they may be of any length."""
-    out = np.empty(len(start), np.uint64)
-    k = 0
-    while k < len(start):
-        lo = int(start[k])
-        stop = max(k + 1, int(np.searchsorted(end, lo + BLOCK, "right")))
-        hi = int(end[k:stop].max())
-        p = prefix_sums(data[lo:hi])
-        s, e = start[k:stop] - lo, end[k:stop] - lo
-        out[k:stop] = (p[e] - p[s]) * powers(hi - lo + 1)[1][s] + (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        k = stop
-    return mixed(out)
+    """A hash of each span of bytes and its length: every 8 bytes go through a permutation that isn't linear in any ring, so no pattern of bytes cancels out."""
+    size = end - start
+    out = mixed(size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(_SALT))
+    words = words_at(data)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = start[live], size[live]
+    while len(live):
+        h = out[live] * np.uint64(0x9FB21C651E98DF25)
+        h ^= words[at] & _INSIDE[np.minimum(left, 8)]
+        out[live] = mixed(h)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 class Texts:
@@ -132,5 +126,5 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 def owned(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Hashes that differ from text to text."""
-    salt = mixed(np.arange(1, len(counts) + 1, dtype=np.uint64) * np.uint64(_BASE))
+    salt = mixed(np.arange(1, len(counts) + 1, dtype=np.uint64) * np.uint64(_SALT))
     return mixed(hashes ^ np.repeat(salt, counts))
