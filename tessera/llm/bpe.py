@@ -160,10 +160,6 @@ def model(path: str) -> tuple[TrieBPE, subwords.Kept]:
     return _models[path]
 
 
-def _schema_with(df: DataFrame, extra: str) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + extra
-
-
 def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column of token ids (array<int>) for its text column; other columns stay.
 
@@ -183,7 +179,7 @@ def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", ids:
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(all_ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, ids])
 
-    return df.mapInArrow(run, _schema_with(df, f"`{ids}` array<int>"))
+    return df.mapInArrow(run, common.schema_with(df, f"`{ids}` array<int>"))
 
 
 def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -199,7 +195,7 @@ def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", text:
                 rows = batch.slice(k, 64)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([bpe.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in rows.column(ids)], pa.string())], names=[*rows.schema.names, text])
 
-    return df.mapInArrow(run, _schema_with(df, f"`{text}` string"))
+    return df.mapInArrow(run, common.schema_with(df, f"`{text}` string"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

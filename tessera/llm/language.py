@@ -162,8 +162,7 @@ def predict(df: DataFrame, model: Model | None) -> DataFrame:
                     rows_of.trim()
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*rows.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.mapInArrow(run, common.schema_with(df, "lang_pred string, score double"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -104,8 +104,7 @@ def posteriors(df: DataFrame, model: Classifier) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(counts.astype(np.int64)), lists], names=[*rows.schema.names, "n_tokens", "posterior"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, n_tokens long, posterior array<double>")
+    return df.mapInArrow(run, common.schema_with(df, "n_tokens long, posterior array<double>"))
 
 
 def follow(p: np.ndarray, history: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -161,15 +160,15 @@ def solve(table: DataFrame, targets: np.ndarray, least: float = 0.0, budget: flo
 
 
 def with_rates(table: DataFrame, history: list[np.ndarray], least: float = 0.0) -> DataFrame:
-    """table with its rates."""
+    """table with its rates; a column so named is replaced."""
+    table = table.drop("rate")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(follow(batch_posteriors(batch), history, least)[0])], names=[*batch.schema.names, "rate"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
-    return table.mapInArrow(run, f"{schema}, rate double")
+    return table.mapInArrow(run, common.schema_with(table, "rate double"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: float = 0.0) -> DataFrame:

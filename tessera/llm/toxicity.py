@@ -306,8 +306,7 @@ def score(df: DataFrame, field: Field, spans: bool = True) -> DataFrame:
                 if len(emissions) > KEPT_WORDS:
                     emissions.clear()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double"
-    return df.mapInArrow(run, schema + ", toxic_spans array<struct<start: int, end: int, p: double>>" * spans)
+    return df.mapInArrow(run, common.schema_with(df, "score double" + ", toxic_spans array<struct<start: int, end: int, p: double>>" * spans))
 
 
 def spans_of(text: str, p: np.ndarray) -> list[dict]:
