@@ -53,7 +53,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(left, pa.string())], names=["_doc", "_text"])
 
     found = substrings.without_repeats(keyed).select("_doc", "text", "spans")
-    cut = found.mapInArrow(run, f"_doc {found.schema['_doc'].dataType.simpleString()}, _text string")
+    cut = found.mapInArrow(run, common.schema_with(found.select("_doc"), "_text string"))
     new = {"text": F.col("_text"), "n_chars": F.char_length(F.coalesce("_text", F.lit(""))).cast("long")}
     return cut.select(*(new[c].alias(c) if c in new else F.col("_doc")[c].alias(c) for c in docs.columns))
 
