@@ -167,7 +167,7 @@ def test_lm_learns_from_all_training_rows(spark):
             plain[j * 2 * attention.COLUMNS + attention.COLUMNS + int(column[i])] += 1
     assert dict(zip(*(x.tolist() for x in attention.neighbours_of(df, id_counts, path)))) == plain
     words = Counter(w for t in texts for w in (t or "").split())
-    first = {w: attention.word_ids(path).fill([w.encode()]).__next__() for w in words}
+    first = {w: attention.encoded_words([w.encode()], path)[0] for w in words}
     totals = np.bincount([model.class_of[int.from_bytes(first[w][:4], "little")] for w in words], list(words.values()), attention.CLASSES)
     assert np.array_equal(attention.class_totals(counts, model.class_of, path), totals)
     fresh = attention.untrained(model.features, model.class_of, id_counts, np.random.default_rng(1))
@@ -213,6 +213,16 @@ def test_chances_of_words_add_up_to_one_at_most():
     assert total < 1
 
 
+def test_words_in_a_row_are_encoded_as_alone():
+    path = subwords.default_path()
+    words = [w.encode("utf-8") for w in "the of don't x\u00a0 \u00a0y é漢字😀 <|endoftext|> 12³ ... a\u2028 \x1cb \ufffd thorbleandhe,### a".split(" ")] + [b"\xff\xc3(", b"x" * 3000]
+    alone = [attention.encoded_words([w], path)[0] for w in words]
+    assert attention.encoded_words(words, path) == alone
+    plain = [w for w in words if not attention._ODD.search(w.decode("utf-8", "replace"))]
+    library = attention.tokenizer_of(path)
+    assert attention.encoded_words(plain * 100, path) == [np.array(library.encode(" " + w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for w in plain] * 100
+
+
 def test_met_before():
     words = np.array([5, 5, 7, 5, 5, 7], np.uint64)
     assert np.allclose(attention.met_before(words, np.array([4, 0, 2])), [0, 1, 0, 2 / 3, 0, 0])
