@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 from tessera.llm.token_files import pieces
 
-#: Rows of a language that the classifier is fitted on, about (chosen by hash, evenly over the table); fewer where there are fewer.
-SAMPLE_PER_LANGUAGE = 3000
-#: Languages, the most frequent first, and the most frequent words and n-grams that the model keeps: bounds of what is broadcast.
-MAX_LANGUAGES, MAX_WORDS, MAX_GRAMS = 64, 200_000, 300_000
+#: Rows of a language that the classifier is fitted on, about (chosen by hash, evenly over the table); fewer where there are fewer. All languages count, and all words and
+#: n-grams of these rows, so the sample bounds what is broadcast.
+SAMPLE_PER_LANGUAGE = 1000
 #: Orders of n-grams, longest first. Words are set between two marks.
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
@@ -38,27 +37,28 @@ def has_letter(words: list[str]) -> bool:
 
 
 class Model:
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], tables: dict[str, np.ndarray]):
-        """words and tables: counts by language. A table's n-grams have their order as length."""
+    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], tables: tuple[list[str], np.ndarray]):
+        """words and tables: items, and their counts by language. A table's n-grams have their order as length."""
         self.languages = languages
-        n = len(languages)
-        total = np.maximum(sum(words.values(), np.zeros(n)), 1)
-        self.words = {w: np.log((c + SMOOTH) / (total + SMOOTH * (len(words) + 1))) for w, c in words.items()}
-        by_order: dict[int, np.ndarray] = {}
-        for g, c in tables.items():
-            by_order[len(g)] = by_order.get(len(g), np.zeros(n)) + c
-        kinds = Counter(map(len, tables))
-        self.grams = {g: np.log((c + SMOOTH) / (by_order[len(g)] + SMOOTH * (kinds[len(g)] + 1))) for g, c in tables.items()}
-        self.none = np.zeros(n)
+        self.words = {w: k for k, w in enumerate(words[0])}
+        self.grams = {g: k for k, g in enumerate(tables[0])}
+        c = words[1].reshape(len(self.words), -1)
+        self.word_logs = np.log((c + SMOOTH) / (np.maximum(c.sum(0), 1) + SMOOTH * (len(c) + 1))).astype(np.float32) if len(c) else c
+        order = np.array([len(g) for g in tables[0]], np.int64)
+        self.gram_logs = tables[1].reshape(len(order), -1).astype(np.float32)
+        for n in np.unique(order):
+            c = tables[1][order == n]
+            self.gram_logs[order == n] = np.log((c + SMOOTH) / (c.sum(0) + SMOOTH * (len(c) + 1)))
+        self.none = np.zeros(len(languages))
 
     def of_word(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.word_logs[known]
         for n in ORDERS:
             found = [x for g in grams(word, n) if (x := self.grams.get(g)) is not None]
             if found:
-                return np.mean(found, 0)
+                return self.gram_logs[found].mean(0)
         return self.none
 
 
@@ -86,7 +86,7 @@ class Rows(dict):
 def fit(df: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """From text and lang of df(doc_id, text, lang) where both are there; None without such rows. The sample is evenly spread by a hash."""
     labelled = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # one row a language
     if not sizes:
         return None
     languages = sorted(r.lang for r in sizes)
@@ -120,11 +120,11 @@ def fit(df: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     counts = labelled.filter(chosen).select("text", "lang").mapInArrow(count, "lang string, is_word boolean, item string, n long")
     index = {lang: k for k, lang in enumerate(languages)}
     each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{index[lang]}") for lang in languages]
-    sums, path = common.written(counts.groupBy("is_word", "item").agg(F.sum("n").alias("n"), *each).filter("n > 1 OR (NOT is_word AND length(item) < 3)"), "language")
+    sums, path = common.written(counts.groupBy("is_word", "item").agg(F.sum("n").alias("n"), *each), "language")
     tables = []
-    for is_word, most in ((True, MAX_WORDS), (False, MAX_GRAMS)):
-        rows = sums.filter(F.col("is_word") == is_word).orderBy(F.desc("n"), "item").limit(most).drop("is_word", "n").toPandas()
-        tables.append(dict(zip(rows["item"], rows.drop(columns="item").to_numpy(np.float64))))
+    for is_word in (True, False):
+        rows = sums.filter(F.col("is_word") == is_word).drop("is_word", "n").toPandas().sort_values("item")
+        tables.append((rows["item"].tolist(), rows.drop(columns="item").to_numpy(np.float64)))
     common.drop(df.sparkSession, path)
     return Model(languages, *tables)
 
@@ -132,7 +132,7 @@ def fit(df: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
 def predict(df: DataFrame, model: Model | None) -> DataFrame:
     """df(doc_id, text, ...) with lang_pred and score (the posterior of lang_pred with even priors, 0 to 1).
 
-    A text that is null or has no letters gets `und` and score 0, and so does every text where nothing could be learned. Ties go to the
+    Repeated rows get the same; an empty table gives no rows. A text that is null or has no letters gets `und` and score 0, and so does every text where nothing could be learned. Ties go to the
     language first in order. Whole texts count; other columns stay, but ones named lang_pred or score are replaced.
     """
     spark = df.sparkSession

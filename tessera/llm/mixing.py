@@ -2,8 +2,8 @@
 
 A classifier fitted on a table of labels gives each document a distribution over domains. Documents get rates, how often each is to be seen,
 so that the expected tokens of the domains match their targets: least squares with a pull towards a rate of 1, solved by projected gradient
-steps (accelerated). The residual has one number for each domain, so a step is one pass over (tokens, posteriors) that gives back a few
-numbers for each partition; a document's rate follows from the history of the residuals, and nothing else has to be kept.
+steps. The residual has one number for each domain, so a step is one pass over (tokens, posteriors) that gives back a few numbers for each partition: the residual, and
+the curvature that the step is scaled by. A document's rate follows from what the steps add up to; nothing else has to be kept.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ SAMPLE_PER_DOMAIN = 2000
 BUCKETS = 1 << 13
 #: Targets of the query: parts of all tokens.
 TARGETS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
-#: The pull towards a rate of 1, the most passes, and the residual (a part of all tokens) at which they end.
-PULL, PASSES, NEAR = 1e-4, 60, 2e-4
+#: The pull towards a rate of 1; what the condition of the minimum may be off by, as a part of all tokens; the passes after which it is an error to be further off.
+PULL, NEAR, PASSES = 1e-4, 1e-8, 200
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +107,9 @@ def posteriors(df: DataFrame, model: Classifier) -> DataFrame:
     return df.mapInArrow(run, common.schema_with(df, "n_tokens long, posterior array<double>"))
 
 
-def follow(p: np.ndarray, history: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps of a history of residuals, and the point at which the next gradient is taken."""
-    r = z = np.full(len(p), max(1.0, least))
-    t = 1.0
-    for g in history:
-        new = np.maximum(least, z - (p @ g + PULL * (z - 1)) / (1 + PULL))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, r, t = new + (t - 1) / t_new * (new - r), new, t_new
-    return r, z
+def rates(p: np.ndarray, pushes: np.ndarray, least: float) -> np.ndarray:
+    """Rates after steps that add up to pushes: how far a token of each domain is pushed down, projected onto those of least or more."""
+    return np.maximum(least, 1 - p @ pushes)
 
 
 def batch_posteriors(batch: pa.RecordBatch) -> np.ndarray:
@@ -123,50 +117,68 @@ def batch_posteriors(batch: pa.RecordBatch) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(len(lists), -1)
 
 
-def solve(table: DataFrame, targets: np.ndarray, least: float = 0.0, budget: float | None = None) -> list[np.ndarray]:
-    """The history of residuals that leads to the rates. table(n_tokens, posterior) is read once for each step; budget: all tokens wanted (None: as many as
-    there are, or, where rates have a least value, the fewest that allow the targets)."""
+def solve(table: DataFrame, targets: np.ndarray, least: float = 0.0, budget: float | None = None) -> np.ndarray:
+    """What the steps add up to, from which rates follow. table(n_tokens, posterior) is read once for each step; budget: all tokens wanted (None: as many as
+    there are, or, where rates have a least value, the fewest that allow the targets).
+
+    At the minimum the steps so far are the residual over PULL; the passes end when both sides agree to NEAR of all tokens. The step is the residual over
+    the curvature along the rates that aren't at their least value, and is halved while it doesn't bring the sides closer.
+    """
     width = len(targets)
+    low = [(i, j) for i in range(width) for j in range(i + 1)]
 
-    def total(history: list[np.ndarray]) -> np.ndarray:
-        """Expected tokens of each domain at the next point, then those at the rates."""
+    def total(pushes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of each domain at the rates, and the curvature."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(2 * width)
+            sums = np.zeros(width + len(low))
             for batch in batches:
                 if batch.num_rows:
                     p, n = batch_posteriors(batch), batch.column("n_tokens").to_numpy()
-                    r, z = follow(p, history, least)
-                    sums += np.concatenate([(n * z) @ p, (n * r) @ p])
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=[f"s{k}" for k in range(2 * width)])
-
-        parts = table.select("n_tokens", "posterior").mapInArrow(run, ", ".join(f"s{k} double" for k in range(2 * width)))
-        return np.array(parts.agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * width))).first(), dtype=float)
-
-    base = np.nan_to_num(total([])[:width])
-    if base.sum() <= 0:
-        return []
+                    r = rates(p, pushes, least)
+                    free = n * (1 - p @ pushes > least)
+                    sums += np.concatenate([(n * r) @ p, [(free * p[:, i]) @ p[:, j] for i, j in low]])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=[f"s{k}" for k in range(len(sums))])
+
+        names = [f"s{k}" for k in range(width + len(low))]
+        parts = table.select("n_tokens", "posterior").mapInArrow(run, ", ".join(f"{c} double" for c in names))
+        found = np.nan_to_num(np.array(parts.agg(*(F.sum(c).alias(c) for c in names)).first(), dtype=float))
+        curve = np.zeros((width, width))
+        for (i, j), x in zip(low, found[width:]):
+            curve[i, j] = curve[j, i] = x
+        return found[:width], curve
+
+    pushes = np.zeros(width)
+    at, curve = total(pushes)
+    base = at.sum()
+    if base <= 0:
+        return pushes
     if budget is None:
-        budget = max(base.sum(), (base[targets > 0] / targets[targets > 0]).max()) if least >= 1 else base.sum()
-    history: list[np.ndarray] = []
-    at = base
+        budget = max(base, (at[targets > 0] / targets[targets > 0]).max()) if least >= 1 else base
+    gap = (at - targets * budget) / base - PULL * pushes
+    step, part = None, 1.0
     for _ in range(PASSES):
-        history.append((at - targets * budget) / base.sum())
-        both = total(history)
-        at = both[:width]
-        if np.abs(both[width:] - targets * budget).max() < NEAR * base.sum():
-            break
-    return history
-
-
-def with_rates(table: DataFrame, history: list[np.ndarray], least: float = 0.0) -> DataFrame:
+        if np.abs(gap).max() <= NEAR:
+            return pushes
+        if step is None:
+            step = np.linalg.solve(curve / base + PULL * np.eye(width), gap)
+        at, new_curve = total(pushes + part * step)
+        new = (at - targets * budget) / base - PULL * (pushes + part * step)
+        if np.linalg.norm(new) < (1 - part / 10) * np.linalg.norm(gap):
+            pushes, gap, curve, step, part = pushes + part * step, new, new_curve, None, 1.0
+        else:
+            part /= 2
+    raise RuntimeError(f"mixing: the rates' condition is still off by {np.abs(gap).max():.2g} of all tokens after {PASSES} passes")
+
+
+def with_rates(table: DataFrame, pushes: np.ndarray, least: float = 0.0) -> DataFrame:
     """table with its rates; a column so named is replaced."""
     table = table.drop("rate")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(follow(batch_posteriors(batch), history, least)[0])], names=[*batch.schema.names, "rate"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(batch_posteriors(batch), pushes, least))], names=[*batch.schema.names, "rate"])
 
     return table.mapInArrow(run, common.schema_with(table, "rate double"))
 
@@ -176,7 +188,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
 
     labels(doc_id, domain) says which domains documents belong to; targets the parts of all tokens (they are scaled to a sum of 1). A null or empty
     text has no tokens: it gets the domains' shares as its posterior, and the rate that goes with it. Repeated rows get the same rate. Without any
-    label all posteriors are even; without any row there is no result. Domains without labelled rows stay in the model with hardly any weight.
+    label all posteriors are even; without any row there is no result. Texts are taken whole, however long. Domains without labelled rows stay in the model with hardly any weight.
     Extra columns are ignored.
     """
     names = list(targets)

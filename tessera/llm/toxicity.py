@@ -164,18 +164,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def train(texts: list[str], toxic: list[int], share: tuple[float, float] = (1.0, 1.0), epochs: int = 4, seed: int = 0) -> Field:
     """From whole texts and their labels. share: the parts of the clean and the toxic rows that the sample holds, to undo its balance.
 
-    Near copies count once: of texts that share one of three minima of word hashes the first stays. Without rows of both classes the
-    field finds nothing toxic (or everything, if all rows are toxic).
+    All segments of all texts count. Near copies with one label (0.8 of their runs of three words in common, or more) count once, the first of them, where one of three minima finds them. Without
+    rows of both classes the field finds nothing toxic (or everything, if all rows are toxic).
     """
-    words_of, labels, seen = [], [], set()
+    words_of, labels = [], []
+    seen: dict[tuple, set[int]] = {}
     for text, label in zip(texts, toxic):
         words = WORD.findall((text or "").lower())
         hashes = {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}
-        minima = {(k, min(h * (2 * k + 1) % 4294967291 ^ 0x5BD1E995 * k for h in hashes)) for k in range(3)}
-        if not minima & seen:
-            words_of.append(words)
-            labels.append(label)
-        seen |= minima
+        minima = [(label, k, min(h * (2 * k + 1) % 4294967291 ^ 0x5BD1E995 * k for h in hashes)) for k in range(3)]
+        if any(len(hashes & other) >= 0.8 * len(hashes | other) for m in minima if (other := seen.get(m)) is not None):
+            continue
+        words_of.append(words)
+        labels.append(label)
+        for m in minima:
+            seen.setdefault(m, hashes)
     y = np.array(labels, np.float64)
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -193,12 +196,7 @@ def train(texts: list[str], toxic: list[int], share: tuple[float, float] = (1.0,
                 if (tag := tag_of.get(w)) is None:
                     tag = tag_of[w] = any(m in telling for m in marks(w))
                 tags[k] = tag
-        starts = list(range(0, len(words), SEGMENT))
-        if label:
-            starts = [s for s in starts if any(tags[s : s + SEGMENT])][:12] + starts[:1]
-        else:
-            starts = [starts[k] for k in rng.permutation(len(starts))[:8]]
-        for s in starts:
+        for s in range(0, len(words), SEGMENT):
             segments.append(([index.setdefault(w, len(index)) for w in words[s : s + SEGMENT]], tags[s : s + SEGMENT]))
     table = np.full((max(len(index), 1), 7), TABLE, np.int64)
     for w, k in index.items():

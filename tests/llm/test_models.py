@@ -318,6 +318,67 @@ def test_projected_steps_reach_least_squares(spark):
     goal = np.array([0.7, 0.25, 0.05])
     r = np.array([x.rate for x in mixing.with_rates(df, mixing.solve(df, goal)).collect()])
     assert (r >= 0).all() and np.allclose((n * r) @ p / n.sum(), goal, atol=2e-3)
+    for least in (0.0, 1.0):
+        r = np.array([x.rate for x in mixing.with_rates(df, mixing.solve(df, goal, least, budget=float(n.sum())), least).collect()])
+        assert np.allclose(r, nonnegative_least_squares(p, n, goal, least), atol=1e-4)
+
+
+def nonnegative_least_squares(p, n, goal, least):
+    """Direct: the weighted squares as rows of one matrix; variables enter and leave the free set one by one."""
+    share = n / n.sum()
+    a = np.vstack([p.T * share, np.diag(np.sqrt(mixing.PULL * share))])
+    b = np.concatenate([goal, np.sqrt(mixing.PULL * share)]) - a @ np.full(len(n), least)
+    free, x = np.zeros(len(n), bool), np.zeros(len(n))
+    while True:
+        g = a.T @ (b - a @ x)
+        if not (~free & (g > 1e-12)).any():
+            return x + least
+        free[np.where(free, -np.inf, g).argmax()] = True
+        while True:
+            z = np.zeros(len(n))
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if (z[free] >= 0).all():
+                x = z
+                break
+            back = free & (z < 0)
+            x = x + (x[back] / (x[back] - z[back])).min() * (z - x)
+            free &= x > 1e-14
+
+
+def test_mixing_says_when_it_ends_too_early(spark, monkeypatch):
+    df = spark.createDataFrame([(5, [0.9, 0.1]), (7, [0.2, 0.8])], "n_tokens long, posterior array<double>")
+    monkeypatch.setattr(mixing, "PASSES", 1)
+    with pytest.raises(RuntimeError):
+        mixing.solve(df, np.array([0.99, 0.01]))
+
+
+def test_odd_column_names(spark, edge, data):
+    import corpus_pipeline
+
+    df = edge.select("*", F.lit(1).alias("meta-data"), F.lit("x").alias("a`b c"), F.lit(2.0).alias("rate"))
+    for stage in (corpus_pipeline.remove_toxic, corpus_pipeline.cut_repeats, corpus_pipeline.mix_sources):
+        got = stage(spark, df, data)
+        assert got.columns == df.columns and {r["meta-data"] for r in got.collect()} == {1}
+    found = mixing.with_rates(spark.createDataFrame([(5, [0.9, 0.1], "x")], "n_tokens long, posterior array<double>, rate string"), np.zeros(2))
+    assert found.columns == ["n_tokens", "posterior", "rate"] and found.first().rate == 1
+
+
+def thue_morse(n):
+    a = [0]
+    while len(a) < n:
+        a += [1 - x for x in a]
+    return "".join("ab"[x] for x in a), "".join("ba"[x] for x in a)
+
+
+def test_no_pattern_makes_hashes_equal():
+    for n in (64, 1024, 2048, 4096, 8192):
+        x, y = thue_morse(n)
+        t = textbytes.Texts([x, y, x + " " + y, " ".join(x), " ".join(y)])
+        start, end, _ = t.words()
+        h = textbytes.span_hashes(t.data, start, end)
+        assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
+        a, b = (textbytes.windows(h[k : k + n], np.array([n]), n)[0][0] for k in (4, 4 + n))
+        assert a != b
 
 
 def test_word_hashes():
