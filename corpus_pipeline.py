@@ -20,18 +20,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the field scores below 0.5. Empty and null texts stay."""
+    """Documents that the field scores below 0.5. Empty and null texts stay; repeated rows fare alike, extra columns stay, an empty table stays empty."""
     field = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     keyed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
     return toxicity.score(keyed, field, spans=False).filter("score < 0.5").select("_row.*")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (shingles of 5 words, 0.8); of rows that share doc_id and text one stays. Rows without a doc_id stay."""
-    found = minhash.near_duplicates(docs, size=5, percent=80)
-    kept, _ = common.written(found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """One document of each component of near copies (shingles of 5 words, 0.8): the one with the least doc_id; of rows that share doc_id and text one stays. Rows without
+    a doc_id take part under a number made from their text, above all others. Empty and null texts have no copies but their own rows."""
+    own = F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+    keyed = docs.select(F.struct("*").alias("_row"), own.alias("_key"), F.col("text").alias("_text"))
+    found = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text")), size=5, percent=80)
+    kept, _ = common.written(found.filter("kept").select(F.col("doc_id").alias("_key")).distinct(), "kept")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_text"]).select("_row.*")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -59,21 +61,22 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says: the whole part, and once more with the fraction as its chance (by a hash, so always alike)."""
+    """Each document as often as its rate says: the whole part, and once more with the fraction as its chance (by a hash of doc_id and text, so always alike, and alike for
+    repeated rows). Null and empty texts have the domains' shares; extra columns stay, an empty table stays empty."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", mixing.label_domain().alias("domain"))
     model = mixing.fit(docs, labels, list(WEIGHTS))
     goal = mixing.np.array(list(WEIGHTS.values()))
     keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
     small, _ = common.written(mixing.posteriors(keyed.select("text"), model).drop("text"), "posteriors")
-    history = mixing.solve(small, goal / goal.sum(), least=1.0)
-    rated = mixing.with_rates(mixing.posteriors(keyed, model), history, least=1.0)
+    pushes = mixing.solve(small, goal / goal.sum(), least=1.0)
+    rated = mixing.with_rates(mixing.posteriors(keyed, model), pushes, least=1.0)
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return rated.select("_row", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each row."""
+    """doc_id, n_tokens and ids of each row, repeated rows too; no ids for a null or empty text; extra columns are left out, an empty table stays empty."""
     return bpe.encode(docs.select("doc_id", "text")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
