@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common
+from tessera.llm import common, textbytes
 from tessera.llm.token_files import pieces
 
 #: Labelled rows of each class that the classifier is fitted on, about, chosen evenly by a hash; fewer where there are fewer.
@@ -142,10 +142,13 @@ def by_document(values: np.ndarray, sizes: np.ndarray, f: np.ufunc) -> np.ndarra
     return out
 
 
-def tagged(field: Field, emissions: dict, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of all words in a row, and the number of words of each text."""
+def tagged(field: Field, emissions, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of all words in a row, and the number of words of each text: lists of words with a dictionary of emissions, or arrays of numbers with an array."""
     sizes = np.array([len(w) for w in texts], np.int64)
-    e = np.array([e for words in texts for e in map(emissions.__getitem__, words)], np.float64)
+    if isinstance(emissions, dict):
+        e = np.array([e for words in texts for e in map(emissions.__getitem__, words)], np.float64)
+    else:
+        e = emissions[np.concatenate([*texts, np.zeros(0, np.int32)])]
     first = np.zeros(len(e), bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     return (field.marginals(e, first) if len(e) else e), sizes
@@ -161,55 +164,57 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], toxic: list[int], share: tuple[float, float] = (1.0, 1.0), epochs: int = 4, seed: int = 0) -> Field:
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= 0.8 * (len(a) + len(b) - both)
+
+
+def train(texts: list[str], toxic: list[int], share: tuple[float, float] = (1.0, 1.0), epochs: int = 2, seed: int = 0) -> Field:
     """From whole texts and their labels. share: the parts of the clean and the toxic rows that the sample holds, to undo its balance.
 
     All segments of all texts count. Near copies with one label (0.8 of their runs of three words in common, or more) count once, the first of them, where one of three minima finds them. Without
     rows of both classes the field finds nothing toxic (or everything, if all rows are toxic).
     """
-    words_of, labels = [], []
-    seen: dict[tuple, set[int]] = {}
+    index: dict[str, int] = {}
+    docs, labels = [], []
+    seen: dict[tuple, np.ndarray] = {}
     for text, label in zip(texts, toxic):
-        words = WORD.findall((text or "").lower())
-        hashes = {zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))}
-        minima = [(label, k, min(h * (2 * k + 1) % 4294967291 ^ 0x5BD1E995 * k for h in hashes)) for k in range(3)]
-        if any(len(hashes & other) >= 0.8 * len(hashes | other) for m in minima if (other := seen.get(m)) is not None):
+        ids = np.array([index.setdefault(w, len(index)) for w in WORD.findall((text or "").lower())], np.int32)
+        runs = np.unique(textbytes.windows(textbytes.mixed(ids.astype(np.uint64) + np.uint64(1)), np.array([len(ids)]), min(3, max(len(ids), 1)))[0]) if len(ids) else np.zeros(0, np.uint64)
+        minima = [(label, k, int(textbytes.mixed(runs + np.uint64(k)).min()) if len(runs) else 0) for k in range(3)]
+        if any(_alike(runs, other) for m in minima if (other := seen.get(m)) is not None):
             continue
-        words_of.append(words)
+        docs.append(ids)
         labels.append(label)
         for m in minima:
-            seen.setdefault(m, hashes)
+            seen.setdefault(m, runs)
+    seen.clear()
+    vocabulary = list(index)
     y = np.array(labels, np.float64)
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, label in zip(words_of, labels):
-        counts[int(label)].update({m for w in set(words) for m in marks(w)})
+    for ids, label in zip(docs, labels):
+        counts[int(label)].update({m for w in np.unique(ids).tolist() for m in marks(vocabulary[w])})
     telling = {m for m, n in counts[1].items() if n >= LEAST_DOCUMENTS and n / n1 >= RATIO * (counts[0][m] + 0.5) / n0}
-    tag_of: dict[str, bool] = {}
-    rng = np.random.default_rng(seed)
-    index: dict[str, int] = {}
-    segments: list[tuple[list[int], list[bool]]] = []
-    for words, label in zip(words_of, labels):
-        tags = [False] * len(words)
-        if label:
-            for k, w in enumerate(words):
-                if (tag := tag_of.get(w)) is None:
-                    tag = tag_of[w] = any(m in telling for m in marks(w))
-                tags[k] = tag
-        for s in range(0, len(words), SEGMENT):
-            segments.append(([index.setdefault(w, len(index)) for w in words[s : s + SEGMENT]], tags[s : s + SEGMENT]))
-    table = np.full((max(len(index), 1), 7), TABLE, np.int64)
-    for w, k in index.items():
+    tells = np.array([any(m in telling for m in marks(w)) for w in vocabulary], bool)
+    table = np.full((max(len(vocabulary), 1), 7), TABLE, np.int32)
+    for k, w in enumerate(vocabulary):
         found = features(w)
         table[k, : len(found)] = found
+    del counts, telling, vocabulary, index
+    rng = np.random.default_rng(seed)
+    sizes = np.array([common.ceil_div(len(d), SEGMENT) for d in docs], np.int64)
+    ids = np.full((int(sizes.sum()), SEGMENT), -1, np.int32)
+    tags = np.zeros(ids.shape, np.int8)
+    for row, d, label in zip((np.cumsum(sizes) - sizes).tolist(), docs, labels):
+        flat = ids[row : row + common.ceil_div(len(d), SEGMENT)].reshape(-1)
+        flat[: len(d)] = d
+        if label and len(d):
+            tags[row : row + common.ceil_div(len(d), SEGMENT)].reshape(-1)[: len(d)] = tells[d]
     weights, speed = np.zeros(TABLE + 1), np.full(TABLE + 1, 1e-3)
     trans, t_speed = np.zeros((3, 2)), np.full((3, 2), 1e-3)  # from clean, from toxic, at the start
-    ids = np.full((len(segments), SEGMENT), -1)
-    tags = np.zeros((len(segments), SEGMENT), np.int64)
-    for k, (a, b) in enumerate(segments):
-        ids[k, : len(a)], tags[k, : len(b)] = a, b
     for _ in range(epochs):
-        order = rng.permutation(len(segments))
+        order = rng.permutation(len(ids))
         for s in range(0, len(order), 256):
             at = order[s : s + 256]
             i, z = ids[at], tags[at]
@@ -247,7 +252,8 @@ def train(texts: list[str], toxic: list[int], share: tuple[float, float] = (1.0,
             t_speed += g_t * g_t
             trans -= 0.1 * g_t / np.sqrt(t_speed)
     field = Field(weights[:TABLE].astype(np.float32), trans[:2], trans[2], np.zeros(3))
-    p, sizes = tagged(field, Emissions(field), words_of)
+    by_word = np.clip(np.append(field.weights, 0.0)[table].sum(1), -EDGE, EDGE)
+    p, sizes = tagged(field, by_word, docs)
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
     if len(y):
         field.top = logistic(summary(by_document(p, sizes, np.add), by_document(p, sizes, np.maximum)), y, weight / weight.mean())
