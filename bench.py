@@ -15,7 +15,7 @@ from tessera.queries import QUERIES
 
 HEADLINE = (
     "scan_heap", "select_eq_string", "select_cnf_or", "select_pipe", "project", "sum_double", "sum_distinct", "arith_mixed", "join_equi_2way", "join_equi_residual",
-    "join_sort_merge", "join_multi_key", "join_3way", "distinct", "group_sum_double", "group_sum_distinct", "group_multi_key", "group_3way", "join_ordered", "sort_order_check",
+    "join_sort_merge", "join_composite_key", "join_3way", "distinct", "group_sum_double", "group_sum_distinct", "group_multi_key", "group_3way", "join_ordered", "sort_order_check",
 )
 
 

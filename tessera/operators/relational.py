@@ -104,6 +104,6 @@ def lines(df: DataFrame, style: str = "file") -> DataFrame:
     return df.select(F.concat(F.concat_ws(between, *parts), F.lit(end)).alias("value"))
 
 
-def write_out(df: DataFrame, path: str) -> None:
-    """A folder of text files, one line a row, written by all tasks."""
-    lines(df).write.mode("overwrite").text(path)
+def write_out(df: DataFrame, path: str, style: str = "file") -> None:
+    """A folder of text files, one line a row, written by all tasks; styles as in lines."""
+    lines(df, style).write.mode("overwrite").text(path)

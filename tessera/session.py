@@ -15,6 +15,7 @@ from tessera.plans.statistics import Statistics
 from tessera.sources.catalog import DDL_TYPES, Catalog, Table
 from tessera.sources.files import Files
 from tessera.sources.store import TableStore
+from tessera.sources.tbl import read_tbl
 
 
 class Session:
@@ -132,7 +133,11 @@ class Session:
     def _insert(self, s: ast.Insert) -> None:
         self.catalog.lookup(s.table)
         path = s.file if "/" in s.file or not self.data else f"{self.data}/{s.file}"
-        self.store.open(s.table).load(path)
+        rows = read_tbl(self.spark, path, self.store.open(s.table).schema)
+        self.store.open(s.table).append(rows)
+        if s.table in self.statistics.relations:
+            self.statistics.add_rows(s.table, rows)
+            self._save()
 
     def _drop(self, s: ast.Drop) -> None:
         self.catalog.lookup(s.table)

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 class Files:
     def __init__(self, spark: SparkSession):
-        self.jvm = spark.sparkContext._jvm
+        self.gateway, self.jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
@@ -39,7 +39,7 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if fs.exists(where):
-            fs.delete(where, False)
-        if not fs.rename(part, where):
-            raise OSError(f"can't write {path}")
+        hadoop = self.jvm.org.apache.hadoop.fs
+        over = self.gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.makeQualified(where).toUri(), self.conf).rename(fs.makeQualified(part), fs.makeQualified(where), over)

@@ -2,8 +2,8 @@
 
 A table is a folder with versions and a small file that names the one in use. An append to a heap adds files to its version. A sorted table keeps
 appended rows as a pending heap beside its version; the next read (or close) merges them: both are range-partitioned and sorted by the key
-into a new version, and the pointer moves. A reader never sees a version that is being written. Row groups of a sorted table have narrow minima
-and maxima, so equality on a prefix of the key skips most of them.
+into a new version, and the pointer moves. A reader never sees a version that is being written, and the one that it has opened stays until the merge after the next.
+Row groups of a sorted table are small and have narrow minima and maxima, so equality on a prefix of the key skips most of them.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from tessera.sources.files import Files
 from tessera.sources.tbl import read_tbl
 
 KINDS = ("heap", "sorted")
+#: Bytes of a row group of a sorted table.
+ROW_GROUP = 16 << 20
 
 
 class StoredTable:
@@ -76,12 +78,12 @@ class StoredTable:
         old = [self.meta["version"], self.meta["pending"]]
         both = self._read(old[1]) if old[0] is None else self._read(old[0]).unionByName(self._read(old[1]))
         new = f"version-{uuid.uuid4().hex}"
-        both.repartitionByRange(*self.order).sortWithinPartitions(*self.order).write.parquet(f"{self.path}/{new}")
-        self.meta |= {"version": new, "pending": None}
+        both.repartitionByRange(*self.order).sortWithinPartitions(*self.order).write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{new}")
+        gone = self.meta.get("old", [])
+        self.meta |= {"version": new, "pending": None, "old": [folder for folder in old if folder is not None]}
         self._save()
-        for folder in old:
-            if folder is not None:
-                self.files.delete(f"{self.path}/{folder}")
+        for folder in gone:
+            self.files.delete(f"{self.path}/{folder}")
 
     def scan(self, predicate: str | ast.CNF = "") -> DataFrame:
         """All rows, or those for which the predicate holds; it reaches the Parquet scan."""
@@ -136,6 +138,13 @@ class TableStore:
             return None
         return StoredTable(self.spark, self.path(name), json.loads(self.files.read(f"{self.path(name)}/table.json")))
 
+    def load_and_scan(self, name: str, tbl_path: str, schema: T.StructType, predicate: str = "", kind: str = "heap", order: list[str] | tuple[str, ...] = ()) -> DataFrame:
+        """Loads a text table into the table of that name, which is created if need be, and scans it."""
+        self.create(name, schema, kind, order)
+        table = self.open(name)
+        table.load(tbl_path)
+        return table.scan(predicate)
+
     def drop(self, name: str) -> bool:
         return self.exists(name) and self.files.delete(self.path(name))
 
