@@ -1,12 +1,14 @@
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import common, minhash, substrings, suffixes
+from tessera.llm import common, minhash, queries, substrings, suffixes
 from tessera.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,3 +122,50 @@ def test_no_repeats(nothing):
 
 def test_shared_folder(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+@pytest.mark.parametrize("name", ["op5_repeated_bytes", "op6_near_duplicates", "op7_top_k"])
+def test_queries_against_sql(name, spark, data):
+    c = duckdb.connect()
+    for f in os.listdir(data):
+        c.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
+    got, want = queries.QUERIES[name](spark, data).toPandas(), c.execute(queries.ORACLE_SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, got[columns].values.tolist())) == sorted(map(str, want[columns].values.tolist()))
+
+
+def test_hot_groups(spark, monkeypatch):
+    """Exact copies, near copies, texts alike by less than is asked for, and rows without doc_id, in groups that are larger than slots and cells."""
+    monkeypatch.setattr(minhash, "SLOT", 8)
+    monkeypatch.setattr(minhash, "CELL", 8)
+    rng = random.Random(11)
+    base = [str(rng.randint(0, 10**6)) for _ in range(150)]
+    texts = [" ".join(base)] * 40
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(rng.choice((2, 4, 8, 10, 14))):
+            copy[rng.randrange(len(copy))] = str(rng.randint(0, 10**6))
+        texts.append(" ".join(copy))
+    rows = [(None if k % 17 == 3 else rng.randint(0, 10**9), t) for k, t in enumerate(texts)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(plain_components(rows, 2))
+
+
+def test_links_of_rows_without_doc_id(spark):
+    rng = random.Random(12)
+    base = [str(rng.randint(0, 10**6)) for _ in range(200)]
+    rows = [(i, " ".join([*base[:k], "x", *base[k + 1 :]])) for i, k in ((None, 50), (None, 100), (5, 150))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=5).collect()
+    assert {r.component_id for r in got} == {5}
+
+
+def test_no_pattern_is_taken_for_a_copy(spark):
+    a = [0]
+    while len(a) < 4096:
+        a += [1 - x for x in a]
+    rows = [(1, "".join("ab"[x] for x in a)), (2, "".join("ba"[x] for x in a)), (3, " ".join("ab"[x] for x in a[:1024]) + " c"), (4, " ".join("ba"[x] for x in a[:1024]) + " d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, size=2).collect()) == Counter(plain_components(rows, 2))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept_bytes).hexdigest()) for r in substrings.without_repeats(df).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, plain_repeats([t for _, t in rows])))
