@@ -400,6 +400,19 @@ def joined_up(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def covered(df: DataFrame, length: int = 200) -> DataFrame:
+    """Of each row of df: _row, its columns but the text; _text; _spans (a, b), the bytes of it that repeated strings cover, which may overlap (null: none).
+
+    The text is carried once, as rows are sorted and sent to Python whole.
+    """
+    docs = df.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text")
+    removed = find_repeats(docs, length)
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != "text"]
+    whole = df.select(F.struct(*rest).alias("_row"), F.col("text").alias("_text"), F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("doc_id", "text").alias("k"))
+    common.small_batches(df.sparkSession)
+    return whole.join(removed, ["d", "k"], "left").select("_row", "_text", F.col("spans").alias("_spans"))
+
+
 def without_repeats(df: DataFrame, length: int = 200) -> DataFrame:
     """df with n_bytes, n_removed, n_spans, spans (start and end of the removed runs of bytes) and kept_bytes (the rest, joined) of each row's text.
 
@@ -409,17 +422,12 @@ def without_repeats(df: DataFrame, length: int = 200) -> DataFrame:
     """
     new = ("n_bytes", "n_removed", "n_spans", "spans", "kept_bytes")
     df = df.drop(*new)
-    keys = df.select("doc_id", "text")
-    docs = keys.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text")
-    removed = find_repeats(docs, length)
-    spark = df.sparkSession
-    whole = df.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("doc_id", "text").alias("k"))
-    joined = whole.join(removed, ["d", "k"], "left").select("_row", "spans", F.col("_row.text").alias("_text"))
+    joined = covered(df, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: dict[str, list] = {k: [] for k in new}
-            for text, spans in zip(common.texts(batch.column("_text")), batch.column("spans").to_pylist()):
+            for text, spans in zip(common.texts(batch.column("_text")), batch.column("_spans").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 runs = joined_up([(s["a"], s["b"]) for s in spans or ()])
                 kept, at = [], 0
@@ -431,11 +439,10 @@ def without_repeats(df: DataFrame, length: int = 200) -> DataFrame:
                 for c, x in zip(new, (len(data), len(data) - len(kept), len(runs), [{"start": a, "end": b} for a, b in runs], kept)):
                     columns[c].append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(columns[c], k) for c, k in zip(new, kinds))], names=["_row", *new])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), *(pa.array(columns[c], k) for c, k in zip(new, kinds))], names=["_row", "_text", *new])
 
-    schema = common.schema_with(joined.select("_row"), "n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept_bytes binary")
-    common.small_batches(spark)
-    return joined.mapInArrow(run, schema).select("_row.*", *new)
+    schema = common.schema_with(joined.select("_row", "_text"), "n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept_bytes binary")
+    return joined.mapInArrow(run, schema).select(*((F.col("_text") if c == "text" else F.col("_row")[c]).alias(c) for c in df.columns), *new)
 
 
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
