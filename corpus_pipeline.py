@@ -47,17 +47,17 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; n_chars follows. A character that a cut goes through goes too. All rows stay."""
-    keyed = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
+    found = substrings.covered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [without(t, [(s["start"], s["end"]) for s in spans]) if spans else t for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(left, pa.string())], names=["_doc", "_text"])
+            texts, spans = batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()
+            left = [without(t, substrings.joined_up([(x["a"], x["b"]) for x in s])) if s else t for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(left, pa.string())], names=["_row", "_text"])
 
-    found = substrings.without_repeats(keyed).select("_doc", "text", "spans")
-    cut = found.mapInArrow(run, common.schema_with(found.select("_doc"), "_text string"))
+    cut = found.mapInArrow(run, common.schema_with(found.select("_row"), "_text string"))
     new = {"text": F.col("_text"), "n_chars": F.char_length(F.coalesce("_text", F.lit(""))).cast("long")}
-    return cut.select(*(new[c].alias(c) if c in new else F.col("_doc")[c].alias(c) for c in docs.columns))
+    return cut.select(*((new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
