@@ -153,9 +153,9 @@ def test_lm_learns_from_all_training_rows(spark):
     texts = [" ".join(rng.choice(["red", "green", "blue", "stone", "river", "cloud"], 30)) for _ in range(60)] + ["zebra quartz"] * 3 + [None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     counts = attention.word_counts(df)
-    model = attention.fit(df, counts, len(texts), path, sample=0)  # the start has no text at all
+    model, by_class = attention.fit(df, counts, len(texts), path, sample=0)  # the start has no text at all
     begins = attention.beginning(path)
-    id_counts = attention.subword_counts(counts, path, len(begins))
+    id_counts, _ = attention.subword_counts(counts, path, len(begins))
     id_counts[-1] += len(texts)
     stream, sizes = attention.segment_stream([t or "" for t in texts], path, len(begins) - 1)
     assert set(stream.tolist()) <= set(np.flatnonzero(id_counts).tolist())
@@ -169,7 +169,7 @@ def test_lm_learns_from_all_training_rows(spark):
     words = Counter(w for t in texts for w in (t or "").split())
     first = {w: attention.encoded_words([w.encode()], path)[0] for w in words}
     totals = np.bincount([model.class_of[int.from_bytes(first[w][:4], "little")] for w in words], list(words.values()), attention.CLASSES)
-    assert np.array_equal(attention.class_totals(counts, model.class_of, path), totals)
+    assert np.array_equal(by_class, totals)
     fresh = attention.untrained(model.features, model.class_of, id_counts, np.random.default_rng(1))
     at, real = attention.windows_of_segments(sizes)
     loss = lambda m: -np.log(np.take_along_axis(softmax(m.attend(stream[at])[0] @ m.out + m.bias), m.class_of[stream[at + 1]][:, :, None], 2)[:, :, 0][real]).mean()
@@ -223,6 +223,22 @@ def test_words_in_a_row_are_encoded_as_alone():
     assert attention.encoded_words(plain * 100, path) == [np.array(library.encode(" " + w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for w in plain] * 100
 
 
+def test_texts_are_joined_word_by_word():
+    parts = [np.array(x, "<u4").tobytes() for x in ([5], [6, 7], [8, 9, 10])]
+    stream, sizes = attention.joined(parts, np.array([2, 0, 1, 1]), np.array([0, 2, 0, 2]), 99)
+    assert stream.tolist() == [99, 99, 8, 9, 10, 5, 99, 99, 6, 7, 6, 7, 99] and sizes.tolist() == [1, 5, 1, 5]
+    stream, sizes = attention.joined([], np.zeros(0, np.int64), np.array([0]), 99)
+    assert stream.tolist() == [99, 99] and sizes.tolist() == [1]
+
+
+def test_states_are_those_of_training():
+    rng = np.random.default_rng(4)
+    m, ids = small_model(rng), rng.integers(0, 61, (9, attention.WINDOW))
+    x = m.features[ids] @ m.embed + m.place
+    got = m.states(x, (m.q @ m.k.T) * np.float32(attention.WIDTH**-0.5), m.v @ m.o, np.tri(attention.WINDOW, dtype=np.float32))
+    assert np.allclose(got, m.attend(ids)[0], atol=1e-4)
+
+
 def test_met_before():
     words = np.array([5, 5, 7, 5, 5, 7], np.uint64)
     assert np.allclose(attention.met_before(words, np.array([4, 0, 2])), [0, 1, 0, 2 / 3, 0, 0])
