@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -44,6 +45,44 @@ def chunks_of(texts: list[str]) -> list[list[str]]:
     return [CHUNK.findall(t) if hard or not t else t.replace(" ", "\0 ").replace("\n", "\0\n").removeprefix("\0").split("\0") for t, hard in zip(texts, np.diff(count).tolist())]
 
 
+#: Chunks that are encoded in one row.
+ROW = 256
+
+
+def row_encoder(tokenizer) -> Callable[[list[str]], list[bytes]]:
+    """A function that gives the ids of each chunk as little-endian 32-bit bytes.
+
+    Chunks that begin with a space and have no other white space are encoded in rows, which are cut at the ids that begin with a space. Other chunks, and those of a
+    row that has more or fewer of such ids, are encoded one by one.
+    """
+    vocabulary = tokenizer.get_vocab()
+    begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    begins[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True
+    if any(t.lstrip or t.content[:1] == "\u0120" for t in tokenizer.get_added_tokens_decoder().values()):
+        begins[:] = False  # spaces may be theirs
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        out = [b""] * len(chunks)
+        plain, single = [], []
+        for k, chunk in enumerate(chunks):
+            (plain if chunk[:1] == " " and chunk.split() == [chunk[1:]] else single).append(k)
+        rows = [plain[s : s + ROW] for s in range(0, len(plain), ROW)]
+        for row, e in zip(rows, tokenizer.encode_batch_fast(["".join([chunks[k] for k in row]) for row in rows], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(begins[ids])
+            if len(at) == len(row) and at[0] == 0:
+                data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                for k, a, b in zip(row, ends, ends[1:]):
+                    out[k] = data[a:b]
+            else:
+                single += row
+        for k, e in zip(single, tokenizer.encode_batch_fast([chunks[k] for k in single], add_special_tokens=False)):
+            out[k] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
+        return out
+
+    return encode
+
+
 class Kept(dict):
     """chunk -> encoding for the chunks in use lately: two generations, the younger of at most n entries besides those of one call.
 

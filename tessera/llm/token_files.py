@@ -9,7 +9,6 @@ and a reader of metadata never touches ids.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -46,11 +45,7 @@ def encoder(path: str) -> subwords.Kept:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-
-        def fill(chunks: list[str]) -> list[bytes]:
-            return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))]
-
-        _encoders[path] = subwords.Kept(fill)
+        _encoders[path] = subwords.Kept(subwords.row_encoder(tokenizer))
     return _encoders[path]
 
 

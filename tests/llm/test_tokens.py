@@ -32,6 +32,29 @@ def test_trie_is_the_library(library):
     assert all("".join(c) == t for t, c in zip(texts, subwords.chunks_of(texts)))
 
 
+def test_rows_of_chunks_are_the_library(library):
+    rng = random.Random(5)
+    letters = "ab \n\t\r'sdlT1\u00bd\u00e9\u6f22\u0120\u2581\x1c\x85\u3000!?\u0301x"
+    chunks = [" " + "".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    chunks += [" <|endoftext|>", "<|endoftext|>", " x<|endoftext|>y", " ", "  ", "\nword", " word", " \u0120", " a\u0120b", " " + "a" * 3000] + [f" word{k}" for k in range(600)]
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    encode = subwords.row_encoder(Counted())
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(chunks)] == [e.ids for e in library.encode_batch(chunks, add_special_tokens=False)]
+    assert encode([]) == []
+    calls.clear()
+    encode([f" word{k}," for k in range(1000)])
+    assert sum(calls) <= 4  # rows, not chunks
+
+
 def test_encode_and_decode(edge, nothing, library):
     got = Counter((r.doc_id, tuple(r.ids), r.decoded, r.start) for r in bpe.decode(bpe.encode(edge)).collect())
     want = Counter((r.doc_id, tuple(library.encode(r.text or "", add_special_tokens=False).ids), r.text or "", 7) for r in edge.collect())
