@@ -6,9 +6,9 @@ counts over all training texts. Ids that begin a word and ids that go on with on
 place, and the chances of all words add up to 1 at most. A word's probability is a mixture of three: the class that the model predicts for its first id, and its count
 among all training words that begin in this class; its spelling, the product over its ids and its end; and its share of the words before it in the text.
 
-Counts of words and ids are of the whole training corpus. What stands beside an id, and the gradients, come from one segment of words in EVERY of each training
-text, and one at least of each, so they grow with the corpus: the ids' features and classes follow from the neighbours; the weights start on a small sample and then go along
-gradients that are summed over partitions, each step on its share of the training texts.
+All is learned from the whole training corpus: counts of words and ids; what stands beside each id, from which the ids' features and classes follow; and gradients over
+windows that predict each id of each training text once. The weights start on a small sample and then go along gradients that are summed over
+partitions, each step on its share of the training texts, whose ids are written once.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from tessera.llm.token_files import pieces
 
 #: Training texts that the weights start from, about, before the steps over all training texts; the number of these steps, and their rate.
 SAMPLE, STEPS, RATE = 1000, 6, 0.02
-#: Words of a segment; one in EVERY segments of a text is trained on.
-SEGMENT, EVERY = 12, 8
+#: Words of a segment; one in EVERY segments of a text is trained on, so all are.
+SEGMENT, EVERY = 12, 1
 #: Ids of a window, and those of them that are context only; width of the model; classes of ids, the first of them of the end, the next of ids that begin a word.
 WINDOW, OVERLAP, WIDTH, CLASSES, STARTS = 16, 4, 16, 32, 16
 #: Columns in which the neighbours of an id are counted, on each side: the most frequent ids have their own, all others share the last SHARED. Features of an id.
@@ -125,14 +125,6 @@ def column_of(id_counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def neighbours(stream: np.ndarray, sizes: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (id * 2 * COLUMNS + column) of what follows, and precedes, the ids of the segments of a stream, and how often each occurs."""
-    inside = np.ones(max(len(stream) - 1, 0), bool)
-    inside[np.cumsum(sizes)[:-1] - 1] = False
-    a, b = stream[:-1][inside], stream[1:][inside]
-    return np.unique(np.concatenate([a * (2 * COLUMNS) + column[b], b * (2 * COLUMNS) + COLUMNS + column[a]]), return_counts=True)
-
-
 def features_of(codes: np.ndarray, counts: np.ndarray, n_ids: int) -> np.ndarray:
     """What tells ids apart by their neighbours: the leading directions of the shares of their columns (square roots)."""
     m = np.bincount(codes, counts, n_ids * 2 * COLUMNS).astype(np.float32).reshape(n_ids, -1)
@@ -170,27 +162,40 @@ def laid_out(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gradients(m: Model, ids: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the sum of -ln p(class y) over the real places of windows (n, WINDOW), by the weights."""
-    h, x, q, k, v, a, mixed = m.attend(ids)
-    d = h @ m.out + m.bias
-    d -= d.max(2, keepdims=True)
-    np.exp(d, out=d)
-    d /= d.sum(2, keepdims=True)
-    np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], 2) - 1, 2)
-    d *= real[:, :, None]
+    """Of the sum of -ln p(class y) over the real places of windows (n, WINDOW), by the weights. As in states, q meets k, and v meets o, once for all windows."""
+    n, t = ids.shape
+    scale, causal = m.q.dtype.type(WIDTH**-0.5), np.tri(t, dtype=m.q.dtype)
+    qk, vo = (m.q @ m.k.T) * scale, m.v @ m.o
     flat = lambda z: z.reshape(-1, z.shape[-1])
-    g = {"out": flat(h).T @ flat(d), "bias": d.sum((0, 1))}
-    dh = d @ m.out.T
-    g["o"] = flat(mixed).T @ flat(dh)
-    dm = dh @ m.o.T
-    da = dm @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dm
-    da -= (dm * mixed).sum(2, keepdims=True)
-    da *= a
-    da *= np.float32(WIDTH**-0.5)
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    dx = dh + dq @ m.q.T + dk @ m.k.T + dv @ m.v.T
-    return g | {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": dx.sum(0), "embed": flat(m.features[ids]).T @ flat(dx)}
+    deep = lambda z: z.reshape(n, t, -1)
+    f = m.features[ids.ravel()]
+    x = deep(f @ m.embed) + m.place[:t]
+    xt = x.transpose(0, 2, 1)
+    a = deep(flat(x) @ qk) @ xt
+    np.clip(a, -30, 30, out=a)
+    np.exp(a, out=a)
+    a *= causal
+    a /= a @ np.ones((t, 1), a.dtype)
+    u = deep(flat(x) @ vo)
+    mixed = a @ u
+    h = flat(x + mixed)
+    d = h @ m.out
+    d += m.bias
+    np.clip(d, -40, 40, out=d)
+    np.exp(d, out=d)
+    d /= d @ np.ones((CLASSES, 1), d.dtype)
+    d[np.arange(len(d)), y.ravel()] -= 1
+    d *= real.reshape(-1, 1)
+    dh = deep(d @ m.out.T)
+    du = a.transpose(0, 2, 1) @ dh
+    ds = dh @ u.transpose(0, 2, 1)
+    ds -= (dh * mixed).sum(2, keepdims=True)
+    ds *= a
+    there, back = flat(ds @ x), flat(ds.transpose(0, 2, 1) @ x)
+    dx = flat(dh) + flat(du) @ vo.T + there @ qk.T + back @ qk
+    by_qk, by_vo = flat(x).T @ there * scale, flat(x).T @ flat(du)
+    g = {"out": h.T @ d, "bias": d.sum(0), "q": by_qk @ m.k, "k": by_qk.T @ m.q, "v": by_vo @ m.o.T, "o": m.v.T @ by_vo}
+    return g | {"place": deep(dx).sum(0), "embed": f.T @ dx}
 
 
 def untrained(features: np.ndarray, class_of: np.ndarray, id_counts: np.ndarray, rng: np.random.Generator) -> Model:
@@ -271,11 +276,11 @@ def encoded_words(words: list[bytes], path: str) -> list[bytes]:
     """
     tokenizer, begins = tokenizer_of(path), beginning(path)
     out = []
-    for s in range(0, len(words), 512):
-        some = [" " + w.decode("utf-8", "replace") for w in words[s : s + 512]]
-        text = "".join(some)
+    rows = [[" " + w.decode("utf-8", "replace") for w in words[s : s + subwords.ROW]] for s in range(0, len(words), subwords.ROW)]
+    texts = ["".join(some) for some in rows]
+    for some, text, e in zip(rows, texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
         if not _ODD.search(text):
-            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            ids = np.array(e.ids, "<u4")
             at = np.flatnonzero(begins[ids])
             if len(at) == len(some) and at[0] == 0:
                 data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
@@ -387,30 +392,68 @@ def segments(texts: list[str], every: int = EVERY) -> list[tuple[list[bytes], bo
 
 
 def segment_stream(found: list[str], path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the texts' segments one after the other, and how many each has; those that begin or end a text have the end there."""
+    """The ids of the texts one after the other, put together from all of their segments, with the end before and after each text; and how many each has."""
     some = segments(found)
     edge = np.array([end], "<u4").tobytes()
     parts = [edge * first + b"".join(p) + edge * last for p, (_, first, last) in zip(parts_of([w for w, _, _ in some], path), some)]
-    return np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.array([len(p) // 4 for p in parts])
+    sizes = np.array([len(p) // 4 for p in parts])
+    begins = np.flatnonzero([first for _, first, _ in some])
+    return np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.add.reduceat(sizes, begins) if len(begins) else sizes
 
 
-def neighbours_of(training: DataFrame, id_counts: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of what stands beside each id, over the segments of all training texts."""
-    column, end = column_of(id_counts), len(id_counts) - 1
+def streams(training: DataFrame, path: str, end: int, steps: int = STEPS) -> DataFrame:
+    """step, ids, sizes: what segment_stream gives for whole texts, as bytes, some texts in a row. A hash deals the texts to the steps, so partitions don't matter."""
+    kind = id_kind(end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for _, found in pieces(batch) if batch.num_rows else ():
+            for rows, found in pieces(batch) if batch.num_rows else ():
                 stream, sizes = segment_stream(found, path, end)
-                new, n = neighbours(stream, sizes, column)
-                codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n]), len(codes)).astype(np.int64)
+                step = rows.column("step").to_numpy()
+                owner = np.repeat(step, sizes)
+                for k in np.unique(step).tolist():
+                    told = [stream[owner == k].astype(kind).tobytes(), sizes[step == k].astype("<i8").tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in told)], names=["step", "ids", "sizes"])
+
+    dealt = training.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)).cast("int").alias("step"))
+    return dealt.mapInArrow(run, "step int, ids binary, sizes binary")
+
+
+def id_kind(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+def read_streams(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    kind = id_kind(end)
+    for batch in batches:
+        for ids, sizes in zip(batch.column("ids"), batch.column("sizes")):
+            yield np.frombuffer(ids.as_py(), kind).astype(np.int64), np.frombuffer(sizes.as_py(), "<i8")
+
+
+def neighbours_of(training: DataFrame, id_counts: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of what stands beside each id in all training texts."""
+    return counted_neighbours(streams(training, path, len(id_counts) - 1), id_counts)
+
+
+def counted_neighbours(rows: DataFrame, id_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As neighbours_of, from streams."""
+    column, end = column_of(id_counts), len(id_counts) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(column) * 2 * COLUMNS, np.int32)  # of a task
+        for stream, sizes in read_streams(batches, end):
+            inside = np.ones(max(len(stream) - 1, 0), bool)
+            inside[np.cumsum(sizes)[:-1] - 1] = False
+            a, b = stream[:-1][inside], stream[1:][inside]
+            np.add.at(total, a * (2 * COLUMNS) + column[b], 1)
+            np.add.at(total, b * (2 * COLUMNS) + COLUMNS + column[a], 1)
+        codes = np.flatnonzero(total)
         for s in range(0, len(codes), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[s : s + (1 << 16)]), pa.array(counts[s : s + (1 << 16)])], names=["code", "n"])
+            some = codes[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["code", "n"])
 
-    rows = training.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()  # at most 2 * COLUMNS an id
-    return rows.column("code").to_numpy(), rows.column("n").to_numpy()
+    found = rows.select("ids", "sizes").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()  # at most 2 * COLUMNS an id
+    return found.column("code").to_numpy(), found.column("n").to_numpy()
 
 
 def windows_of_segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -421,37 +464,34 @@ def windows_of_segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at + np.repeat(start[some] - (np.cumsum(sizes[some] - 1) - (sizes[some] - 1)), np.maximum(1, -(-(sizes[some] - 1) // WINDOW)))[:, None], real
 
 
-def summed_gradients(m: Model, texts: DataFrame, path: str) -> tuple[np.ndarray, int]:
-    """The sum of the gradients over the segments of all texts, and the ids predicted."""
-    held = texts.sparkSession.sparkContext.broadcast(m)
+def summed_gradients(m: Model, rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The sum of the gradients over all texts in rows of streams, and the ids predicted: all but the end before each text."""
+    held = rows.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         total, n = [np.zeros(getattr(m, name).shape) for name in WEIGHTS], 0
-        for batch in batches:
-            for _, found in pieces(batch) if batch.num_rows else ():
-                stream, sizes = segment_stream(found, path, len(m.features) - 1)
-                at, real = windows_of_segments(sizes)
-                for s in range(0, len(at), 256):
-                    a, r = at[s : s + 256], real[s : s + 256]
-                    g = gradients(m, stream[a], m.class_of[stream[a + 1]], r)
-                    for sums, name in zip(total, WEIGHTS):
-                        sums += g[name]
-                    n += int(r.sum())
+        for stream, sizes in read_streams(batches, len(m.features) - 1):
+            at, real = windows_of_segments(sizes)
+            for s in range(0, len(at), 256):
+                a, r = at[s : s + 256], real[s : s + 256]
+                g = gradients(m, stream[a], m.class_of[stream[a + 1]], r)
+                for sums, name in zip(total, WEIGHTS):
+                    sums += g[name]
+                n += int(r.sum())
         flat = np.concatenate([x.ravel() for x in total] + [[n]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "x"])
 
-    rows = texts.select("text").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toArrow()  # one number a weight
-    flat = rows.column("x").to_numpy()
+    found = rows.select("ids", "sizes").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toArrow()  # one number a weight
+    flat = found.column("x").to_numpy()
     return (flat[:-1], int(flat[-1])) if len(flat) else (flat, 0)
 
 
-def train_on_all(m: Model, training: DataFrame, path: str, steps: int = STEPS) -> None:
-    """Steps along the gradients of all training texts: a hash deals the texts to the steps, so partitions don't matter but for rounding."""
+def train_on_all(m: Model, rows: DataFrame, steps: int = STEPS) -> None:
+    """Steps along the gradients of all training texts, each on its rows of streams."""
     speed = {name: np.full(getattr(m, name).shape, 1e-8) for name in WEIGHTS}
-    deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps))
     for step in range(steps):
-        flat, n = summed_gradients(m, training.filter(deal == step), path)
+        flat, n = summed_gradients(m, rows.filter(F.col("step") == step))
         if n:
             ends = np.cumsum([getattr(m, name).size for name in WEIGHTS])
             for name, part in zip(WEIGHTS, np.split(flat / n, ends[:-1])):
@@ -470,11 +510,16 @@ def fit(training: DataFrame, counts: DataFrame, n_docs: int, path: str, sample:
     rows = training.filter("text IS NOT NULL").filter(spread < int(1_000_000 * share)).select("doc_id", "text").toArrow()
     got = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()), key=lambda r: (r[0] is None, r))
     rng = np.random.default_rng(0)
-    features = features_of(*neighbours_of(training, id_counts, path), len(id_counts))
+    spark, where = training.sparkSession, common.new_path(training.sparkSession, "streams")
+    dealt = streams(training, path, len(id_counts) - 1)
+    dealt.write.partitionBy("step").parquet(where)  # encoded once, read once for the neighbours and once for the steps together
+    dealt = spark.read.schema(dealt.schema).parquet(where)
+    features = features_of(*counted_neighbours(dealt, id_counts), len(id_counts))
     m = untrained(features, classes(features, begins, id_counts, rng), id_counts, rng)
     stream, sizes = segment_stream([text for _, text in got], path, len(id_counts) - 1)
     train(m, np.split(stream, np.cumsum(sizes)[:-1]))
-    train_on_all(m, training, path)
+    train_on_all(m, dealt)
+    common.drop(spark, where)
     return m, class_totals(first, m.class_of)
 
 

@@ -176,6 +176,22 @@ def test_lm_learns_from_all_training_rows(spark):
     assert loss(model) < loss(fresh)
 
 
+def test_all_ids_of_all_training_texts_are_looked_at(spark):
+    path = subwords.default_path()
+    end = len(attention.beginning(path)) - 1
+    rng = np.random.default_rng(4)
+    texts = [" ".join(str(x) for x in rng.integers(0, 9999, n)) for n in (0, 1, 12, 13, 100, 1000)]
+    whole = [[end, *(i for p in attention.encoded_words(attention.words_of(t), path) for i in np.frombuffer(p, "<u4").tolist()), end] for t in texts]
+    stream, sizes = attention.segment_stream(texts, path, end)
+    assert [x.tolist() for x in np.split(stream, np.cumsum(sizes)[:-1])] == whole
+    at, real = attention.windows_of_segments(sizes)
+    starts = np.cumsum(sizes) - sizes
+    assert sorted((at + 1)[real].tolist()) == sorted(set(range(len(stream))) - set(starts.tolist()))  # each is predicted once
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = attention.untrained(rng.normal(size=(end + 1, attention.FEATURES)).astype(np.float32), rng.integers(0, attention.CLASSES, end + 1), np.ones(end + 1), rng)
+    assert attention.summed_gradients(model, attention.streams(df, path, end))[1] == sum(len(x) - 1 for x in whole)
+
+
 def test_segments_leave_no_text_out():
     rng = np.random.default_rng(3)
     for n in (0, 1, 12, 13, 100, 1000):
