@@ -149,15 +149,13 @@ class TrieBPE:
         return data.decode("utf-8", "replace")
 
 
-_models: dict[str, tuple[TrieBPE, subwords.Kept]] = {}
-
-
 def model(path: str) -> tuple[TrieBPE, subwords.Kept]:
     """Of this Python worker."""
-    if path not in _models:
+    models = common.cache_of("bpe")
+    if path not in models:
         bpe = TrieBPE(path)
-        _models[path] = bpe, subwords.Kept(bpe.encode_chunks)
-    return _models[path]
+        models[path] = bpe, subwords.Kept(bpe.encode_chunks)
+    return models[path]
 
 
 def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,9 @@ from pyspark.sql import types as T
 #: Rows that one Arrow batch carries to Python; texts can be long, so far fewer than Spark's default.
 BATCH_ROWS = 256
 
+#: Gives memory that is free back to the system, where the C library can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,6 +75,21 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache_of(operator: str) -> dict:
+    """What this Python worker keeps between the tasks of an operator. Workers outlive stages: what other operators have kept goes, and the memory with it."""
+    if operator not in _caches:
+        _caches.clear()
+        _caches[operator] = {}
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+    return _caches[operator]
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """mapInArrow of a function from batch to batch."""
 

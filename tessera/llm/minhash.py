@@ -113,6 +113,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     """d, k, doc_id, n_shingles, the set's hash, and for sets that are not empty the keys of its bands and 8 bits of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.cache_of("minhash")
         for batch in batches:
             for rows, found in pieces(batch) if batch.num_rows else ():
                 sets = shingle_sets(found, size)
@@ -168,6 +169,7 @@ def with_size(df: DataFrame, key: str, item: str, more_than: int) -> DataFrame:
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[tuple, pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
     """work on the rows of each key, which come in a row."""
+    common.cache_of("minhash")
     held: list[pa.RecordBatch] = []
     at = None
     for batch in batches:

@@ -96,6 +96,7 @@ def posteriors(df: DataFrame, model: Classifier) -> DataFrame:
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.cache_of("mixing")
         model = held.value
         for batch in batches:
             for rows, found in pieces(batch) if batch.num_rows else ():

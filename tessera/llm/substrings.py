@@ -106,6 +106,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(d[t]), pa.array(k[t]), pa.array(got["fp"]), pa.array(got["run"]), pa.array(place), pa.array(got["first"].astype(np.int32)), pa.array(got["last"].astype(np.int32))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.cache_of("substrings")
         for batch in batches:
             some, found, size = [], [], 0
             for i, text in enumerate(common.texts(batch.column("text")) if batch.num_rows else ()):
@@ -128,6 +129,7 @@ def run_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     names = ["fp", "run", "shard", "shards", "n", "first", "last", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.cache_of("substrings")
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for key, text, runs in zip(zip(batch.column("d").to_pylist(), batch.column("k").to_pylist()), common.texts(batch.column("text")), batch.column("runs")):
@@ -264,6 +266,7 @@ def solved(runs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([0], pa.int64()), pa.array([shard[owner[some[0]]]], pa.int32()), pa.array([part], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in told)], names=[f.split()[0] for f in FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.cache_of("substrings")
         held: list[pa.RecordBatch] = []
         size, at = 0, None
         for batch in batches:

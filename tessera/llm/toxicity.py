@@ -294,6 +294,7 @@ def score(df: DataFrame, field: Field, spans: bool = True) -> DataFrame:
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.cache_of("toxicity")
         field = held.value
         emissions = kept.setdefault("emissions", Emissions(field))
         for batch in batches:

@@ -6,7 +6,7 @@ from test_dedup import plain_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
-from tessera.llm import common, subwords
+from tessera.llm import bpe, common, subwords
 
 
 def kept_bytes(texts, length=200):
@@ -78,3 +78,13 @@ def test_cut_keeps_replacement_characters(spark, data):
     got = {r.doc_id: (r.text, r.n_chars) for r in p.cut_repeats(spark, docs, data).collect()}
     assert got == {1: ("\ufffd one éè two \ufffd", 14), 2: ("ü threefour", 11), 3: (None, 0), 4: ("\ufffd", 1)}
     assert p.without("aéb", [(2, 3)]) == "ab" and p.without("éaé", [(1, 4)]) == ""  # no character from the halves of two
+
+
+def test_a_worker_keeps_what_one_operator_keeps():
+    common.cache_of("bpe")["x"] = 1
+    assert common.cache_of("bpe") == {"x": 1}
+    assert common.cache_of("toxicity") == {} and list(common._caches) == ["toxicity"]
+    path = subwords.default_path()
+    assert bpe.model(path) is bpe.model(path) and path in common.cache_of("bpe")
+    common.cache_of("minhash")
+    assert path not in common.cache_of("bpe")
