@@ -293,7 +293,7 @@ def encoded_words(words: list[bytes], path: str) -> list[bytes]:
 def word_ids(path: str) -> subwords.Kept:
     """Of this Python worker: word (bytes) -> its ids."""
     if path not in _encoders:
-        _encoders[path] = subwords.Kept(lambda words: encoded_words(words, path), n=300_000)
+        _encoders[path] = subwords.Kept(lambda words: encoded_words(words, path), n=300_000, raw=True)
     return _encoders[path]
 
 
@@ -354,17 +354,9 @@ def subword_counts(counts: DataFrame, path: str, size: int) -> tuple[np.ndarray,
 
 def parts_of(texts: list[list[bytes]], path: str) -> list[list[bytes]]:
     """The ids of each word of each text (a list of words), as 32-bit bytes."""
-    encode = word_ids(path)
-    parts = [list(map(encode.__getitem__, words)) for words in texts]
-    if encode.missing:
-        filled = list(encode.fill(encode.missing))
-        parts = [[x if x.__class__ is bytes else filled[x] for x in p] for p in parts]
-        encode.update(zip(encode.missing, filled))
-        encode.missing = []
-        if len(encode) > encode.n:
-            encode.old = dict(encode)
-            encode.clear()
-    return parts
+    distinct = list(dict.fromkeys(w for words in texts for w in words))
+    found = dict(zip(distinct, word_ids(path).parts(distinct)))
+    return [[found[w] for w in words] for words in texts]
 
 
 def joined(parts: list[bytes], word: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

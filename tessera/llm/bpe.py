@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common, subwords
-from tessera.llm.token_files import pieces
+from tessera.llm.token_files import runs
 
 #: The split of the byte-level pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -154,7 +154,7 @@ def model(path: str) -> tuple[TrieBPE, subwords.Kept]:
     models = common.cache_of("bpe")
     if path not in models:
         bpe = TrieBPE(path)
-        models[path] = bpe, subwords.Kept(bpe.encode_chunks)
+        models[path] = bpe, subwords.Kept(bpe.encode_chunks, marks=subwords.marks_of(path))
     return models[path]
 
 
@@ -169,13 +169,11 @@ def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", ids:
     common.small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = model(path)[1].encode
-        for batch in batches:
-            for rows, found in pieces(batch, text) if batch.num_rows else ():
-                all_ids = encode_texts(found)
-                ends = np.cumsum([0] + [len(x) // 4 for x in all_ids])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(all_ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, ids])
+        encode_all = model(path)[1].encode_all
+        for rows in runs(batches, text):
+            found, at = encode_all(rows.column(text))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.view("<i4")))
+            yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, ids])
 
     return df.mapInArrow(run, common.schema_with(df, f"`{ids}` array<int>"))
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,9 @@ SCHEMA = T.StructType(
 #: Characters that are encoded together in a task.
 AT_ONCE = 500_000
 
+#: Bytes of texts whose chunks are looked up together.
+TOGETHER = 2 << 20
+
 _encoders: dict = {}
 
 
@@ -45,15 +49,15 @@ def encoder(path: str) -> subwords.Kept:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        _encoders[path] = subwords.Kept(subwords.row_encoder(tokenizer))
+        _encoders[path] = subwords.Kept(subwords.row_encoder(tokenizer), marks=subwords.marks_of(path))
     return _encoders[path]
 
 
-def encode_texts(found: list[str], path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(found: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and where each ends."""
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    all_ids = [x + end for x in encoder(path).encode(found)]
-    return np.frombuffer(b"".join(all_ids), "<u4"), np.cumsum([len(x) // 4 for x in all_ids], dtype=np.int64)
+    ids, at = encoder(path).encode_all(found)
+    ends = at[1:]
+    return (ids, ends) if end_id is None else (np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1))
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", at_once: int = AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -67,27 +71,45 @@ def pieces(batch: pa.RecordBatch, column: str = "text", at_once: int = AT_ONCE)
             start, size = k + 1, 0
 
 
+def runs(batches: Iterator[pa.RecordBatch], column: str = "text", at_once: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in runs of about at_once bytes, so that what they have in common is looked up once."""
+    waiting, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = min(int(np.searchsorted(ends, before + at_once - size)) + 1, batch.num_rows)
+            waiting.append(batch.slice(start, stop - start))
+            size += int(ends[stop - 1]) - before
+            start = stop
+            if size >= at_once:
+                yield pa.concat_batches(waiting) if len(waiting) > 1 else waiting[0]
+                waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting) if len(waiting) > 1 else waiting[0]
+
+
 def encoded(df: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     """Documents in ascending doc_id order with their ids, in the files' schema."""
     common.small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for rows, found in pieces(batch):
-                ids, ends = encode_texts(found, tokenizer, end_id)
-                starts = np.concatenate([[0], ends[:-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id"),
-                        pa.array(np.full(len(found), part, np.int32)),
-                        pa.array(starts + before),
-                        pa.array(ends - starts),
-                        pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]).astype(np.int32)), pa.array(ids.view("<i4"))),
-                    ],
-                    names=SCHEMA.names,
-                )
-                before += int(ends[-1])
+        for rows in runs(batches):
+            ids, ends = encode_texts(rows.column("text"), tokenizer, end_id)
+            starts = np.concatenate([[0], ends[:-1]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("doc_id"),
+                    pa.array(np.full(len(ends), part, np.int32)),
+                    pa.array(starts + before),
+                    pa.array(ends - starts),
+                    pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]).astype(np.int32)), pa.array(ids.view("<i4"))),
+                ],
+                names=SCHEMA.names,
+            )
+            before += int(ends[-1])
 
     ordered = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, SCHEMA)
