@@ -69,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
     small, _ = common.written(mixing.posteriors(keyed.select("text"), model).drop("text"), "posteriors")
     pushes = mixing.solve(small, goal / goal.sum(), least=1.0)
-    rated = mixing.with_rates(mixing.posteriors(keyed, model), pushes, least=1.0)
+    rated = mixing.posteriors(keyed, model, pushes, least=1.0)
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return rated.select("_row", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import common, textbytes
 from tessera.llm.token_files import pieces
@@ -88,9 +89,11 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], per_domain: int
     return train([r[1] for r in got], [r[2] for r in got], domains, share)
 
 
-def posteriors(df: DataFrame, model: Classifier) -> DataFrame:
-    """df with n_tokens (words) and posterior (array, in the order of the domains). Columns so named are replaced."""
-    df = df.drop("n_tokens", "posterior")
+def posteriors(df: DataFrame, model: Classifier, pushes: np.ndarray | None = None, least: float = 0.0) -> DataFrame:
+    """df with n_tokens (words) and posterior (array, in the order of the domains); given pushes, with the rate too, in the same pass: each further pass of a task has a
+    Python worker of its own, which outlives the stage. Columns so named are replaced."""
+    new = "n_tokens long, posterior array<double>" + ("" if pushes is None else ", rate double")
+    df = df.drop(*T.StructType.fromDDL(new).names)
     spark = df.sparkSession
     common.small_batches(spark)
     held = spark.sparkContext.broadcast(model)
@@ -103,9 +106,11 @@ def posteriors(df: DataFrame, model: Classifier) -> DataFrame:
                 buckets, counts = hashed_words(found)
                 p = model.posteriors(buckets, counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(counts.astype(np.int64)), lists], names=[*rows.schema.names, "n_tokens", "posterior"])
+                found = [pa.array(counts.astype(np.int64)), lists, *([] if pushes is None else [pa.array(rates(p, pushes, least))])]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *found], names=schema.names)
 
-    return df.mapInArrow(run, common.schema_with(df, "n_tokens long, posterior array<double>"))
+    schema = common.schema_with(df, new)
+    return df.mapInArrow(run, schema)
 
 
 def rates(p: np.ndarray, pushes: np.ndarray, least: float) -> np.ndarray:
