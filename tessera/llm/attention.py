@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common, subwords, textbytes
-from tessera.llm.token_files import pieces
+from tessera.llm.token_files import pieces, runs
 
 #: Training texts that the weights start from, about, before the steps over all training texts; the number of these steps, and their rate.
 SAMPLE, STEPS, RATE = 1000, 6, 0.02
@@ -37,8 +36,8 @@ WINDOW, OVERLAP, WIDTH, CLASSES, STARTS = 16, 4, 16, 32, 16
 COLUMNS, SHARED, FEATURES = 64, 16, 24
 #: The weights in the mixture of counted words and of words met before in the text (the rest is spelled), and what is added to each id's count in its class.
 COUNTED, MET, ADDED = 0.7, 0.15, 0.5
-#: Entries of a task's count of words before it sends them on.
-COUNT_AT_ONCE = 300_000
+#: Bytes of texts whose words are counted together.
+COUNT_AT_ONCE = 8 << 20
 #: Characters of a block of documents that meets the counts of its words, about.
 BLOCK = 24 << 20
 
@@ -84,7 +83,7 @@ class Model:
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
         s *= causal
-        s /= s @ np.ones((t, 1), s.dtype)
+        s *= (1 / (s.reshape(-1, t) @ np.ones(t, s.dtype))).reshape(n, t, 1)
         return x + s @ (flat @ vo).reshape(n, t, WIDTH)
 
     def log10_ids(self, ids: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +163,9 @@ def laid_out(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 def gradients(m: Model, ids: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
     """Of the sum of -ln p(class y) over the real places of windows (n, WINDOW), by the weights. As in states, q meets k, and v meets o, once for all windows."""
     n, t = ids.shape
-    scale, causal = m.q.dtype.type(WIDTH**-0.5), np.tri(t, dtype=m.q.dtype)
+    kind = m.q.dtype
+    scale, causal = kind.type(WIDTH**-0.5), np.tri(t, dtype=kind)
+    added = np.ones(max(t, WIDTH, CLASSES), kind)  # rows are added up by products, which are faster than sums along an axis
     qk, vo = (m.q @ m.k.T) * scale, m.v @ m.o
     flat = lambda z: z.reshape(-1, z.shape[-1])
     deep = lambda z: z.reshape(n, t, -1)
@@ -175,7 +176,7 @@ def gradients(m: Model, ids: np.ndarray, y: np.ndarray, real: np.ndarray) -> dic
     np.clip(a, -30, 30, out=a)
     np.exp(a, out=a)
     a *= causal
-    a /= a @ np.ones((t, 1), a.dtype)
+    a *= deep((1 / (flat(a) @ added[:t]))[:, None])
     u = deep(flat(x) @ vo)
     mixed = a @ u
     h = flat(x + mixed)
@@ -183,19 +184,19 @@ def gradients(m: Model, ids: np.ndarray, y: np.ndarray, real: np.ndarray) -> dic
     d += m.bias
     np.clip(d, -40, 40, out=d)
     np.exp(d, out=d)
-    d /= d @ np.ones((CLASSES, 1), d.dtype)
-    d[np.arange(len(d)), y.ravel()] -= 1
-    d *= real.reshape(-1, 1)
+    counts = real.ravel().astype(kind)
+    d *= (counts / (d @ added[:CLASSES]))[:, None]
+    d.reshape(-1)[np.arange(0, d.size, CLASSES) + y.ravel()] -= counts
     dh = deep(d @ m.out.T)
     du = a.transpose(0, 2, 1) @ dh
     ds = dh @ u.transpose(0, 2, 1)
-    ds -= (dh * mixed).sum(2, keepdims=True)
+    ds -= deep((flat(dh * mixed) @ added[:WIDTH])[:, None])
     ds *= a
     there, back = flat(ds @ x), flat(ds.transpose(0, 2, 1) @ x)
     dx = flat(dh) + flat(du) @ vo.T + there @ qk.T + back @ qk
     by_qk, by_vo = flat(x).T @ there * scale, flat(x).T @ flat(du)
-    g = {"out": h.T @ d, "bias": d.sum(0), "q": by_qk @ m.k, "k": by_qk.T @ m.q, "v": by_vo @ m.o.T, "o": m.v.T @ by_vo}
-    return g | {"place": deep(dx).sum(0), "embed": f.T @ dx}
+    g = {"out": h.T @ d, "bias": np.ones(len(d), kind) @ d, "q": by_qk @ m.k, "k": by_qk.T @ m.q, "v": by_vo @ m.o.T, "o": m.v.T @ by_vo}
+    return g | {"place": (np.ones(n, kind) @ dx.reshape(n, -1)).reshape(t, -1), "embed": f.T @ dx}
 
 
 def untrained(features: np.ndarray, class_of: np.ndarray, id_counts: np.ndarray, rng: np.random.Generator) -> Model:
@@ -306,19 +307,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (bytes), c over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
-
-        for batch in batches:
-            for text in common.texts(batch.column("text")):
-                found.update(words_of(text))
-                if len(found) > COUNT_AT_ONCE:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
+        for rows in runs(batches, at_once=COUNT_AT_ONCE):
+            t = textbytes.Texts(common.texts(rows.column("text")), lower=True)
+            start, end, _ = t.words()
+            edges, inside = np.concatenate([[0], np.cumsum(end - start)]), t.data[~textbytes.SPACE[t.data]]
+            counts = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(inside)]).value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.binary()), counts.field("counts")], names=["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -352,11 +346,32 @@ def subword_counts(counts: DataFrame, path: str, size: int) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def parts_of(texts: list[list[bytes]], path: str) -> list[list[bytes]]:
-    """The ids of each word of each text (a list of words), as 32-bit bytes."""
-    distinct = list(dict.fromkeys(w for words in texts for w in words))
-    found = dict(zip(distinct, word_ids(path).parts(distinct)))
-    return [[found[w] for w in words] for words in texts]
+def encoded_chunks(chunks: list[bytes], path: str) -> list[bytes]:
+    """The ids of chunks of words: those that begin with a space begin a word."""
+    first = [c[:1] == b" " for c in chunks]
+    begun = iter(encoded_words([c[1:] for c, is_first in zip(chunks, first) if is_first], path))
+    others = [c.decode("utf-8", "replace") for c, is_first in zip(chunks, first) if not is_first]
+    rest = iter([np.array(e.ids, "<u4").tobytes() for e in tokenizer_of(path).encode_batch_fast(others, add_special_tokens=False)])
+    return [next(begun if is_first else rest) for is_first in first]
+
+
+def chunk_ids(path: str) -> subwords.Kept:
+    """Of this Python worker: chunk of a word (bytes, with a space before the word) -> its ids."""
+    key = "chunks " + path
+    if key not in _encoders:
+        _encoders[key] = subwords.Kept(lambda chunks: encoded_chunks(chunks, path), marks=subwords.marks_of(path), raw=True)
+    return _encoders[key]
+
+
+def ids_of_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words (start and end in data, in order and apart), one after the other, each as after a space; and where each word's begin, with the end of the last."""
+    spaced = np.concatenate([[np.uint8(0x20)], data])
+    keep = np.zeros(len(spaced) + 1, np.int8)
+    keep[start] = 1
+    keep[end + 1] -= 1  # words are apart, so no start is an end
+    keep = np.cumsum(keep[:-1], dtype=np.int8).view(bool)
+    spaced[start] = 0x20  # the byte before each word
+    return chunk_ids(path).encode_spans(spaced[keep], np.concatenate([[0], np.cumsum(end - start + 1)]))
 
 
 def joined(parts: list[bytes], word: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -384,13 +399,18 @@ def segments(texts: list[str], every: int = EVERY) -> list[tuple[list[bytes], bo
 
 
 def segment_stream(found: list[str], path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the texts one after the other, put together from all of their segments, with the end before and after each text; and how many each has."""
-    some = segments(found)
-    edge = np.array([end], "<u4").tobytes()
-    parts = [edge * first + b"".join(p) + edge * last for p, (_, first, last) in zip(parts_of([w for w, _, _ in some], path), some)]
-    sizes = np.array([len(p) // 4 for p in parts])
-    begins = np.flatnonzero([first for _, first, _ in some])
-    return np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.add.reduceat(sizes, begins) if len(begins) else sizes
+    """The ids of the texts one after the other, all words of each, with the end before and after each text; and how many each has."""
+    t = textbytes.Texts(found, lower=True)
+    ids, at, sizes = text_ids(t, path)
+    return np.insert(ids, np.repeat(at, 2)[1:-1], end) if len(found) else ids, sizes + 2
+
+
+def text_ids(t: textbytes.Texts, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all words of texts in a row, where each text begins, with the end of the last, and how many each has."""
+    first, last, counts = t.words()
+    ids, at = ids_of_words(t.data, first, last, path)
+    at = at[np.concatenate([[0], np.cumsum(counts)])]
+    return ids.astype(np.int64), at, np.diff(at)
 
 
 def streams(training: DataFrame, path: str, end: int, steps: int = STEPS) -> DataFrame:
@@ -398,14 +418,13 @@ def streams(training: DataFrame, path: str, end: int, steps: int = STEPS) -> Dat
     kind = id_kind(end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, found in pieces(batch) if batch.num_rows else ():
-                stream, sizes = segment_stream(found, path, end)
-                step = rows.column("step").to_numpy()
-                owner = np.repeat(step, sizes)
-                for k in np.unique(step).tolist():
-                    told = [stream[owner == k].astype(kind).tobytes(), sizes[step == k].astype("<i8").tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in told)], names=["step", "ids", "sizes"])
+        for rows in runs(batches):
+            stream, sizes = segment_stream(common.texts(rows.column("text")), path, end)
+            step = rows.column("step").to_numpy()
+            owner = np.repeat(step, sizes)
+            for k in np.unique(step).tolist():
+                told = [stream[owner == k].astype(kind).tobytes(), sizes[step == k].astype("<i8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in told)], names=["step", "ids", "sizes"])
 
     dealt = training.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)).cast("int").alias("step"))
     return dealt.mapInArrow(run, "step int, ids binary, sizes binary")
@@ -465,8 +484,8 @@ def summed_gradients(m: Model, rows: DataFrame) -> tuple[np.ndarray, int]:
         total, n = [np.zeros(getattr(m, name).shape) for name in WEIGHTS], 0
         for stream, sizes in read_streams(batches, len(m.features) - 1):
             at, real = windows_of_segments(sizes)
-            for s in range(0, len(at), 256):
-                a, r = at[s : s + 256], real[s : s + 256]
+            for s in range(0, len(at), 128):
+                a, r = at[s : s + 128], real[s : s + 128]
                 g = gradients(m, stream[a], m.class_of[stream[a + 1]], r)
                 for sums, name in zip(total, WEIGHTS):
                     sums += g[name]
@@ -617,11 +636,11 @@ def score(df: DataFrame, is_training: Column, tokenizer: str | None = None) -> D
             t = textbytes.Texts(found, lower=True)
             start, end, sizes = t.words()
             h = textbytes.span_hashes(t.data, start, end)
-            u, one, word = np.unique(h, return_index=True, return_inverse=True)
-            c, data = count_of(u)[word], t.data.tobytes()
+            u, word = np.unique(h, return_inverse=True)
+            c = count_of(u)[word]
             base = textbytes.sums(np.log10((c + 0.1) / scale), sizes) + np.log10((n_docs + 0.1) / scale)
-            (parts,) = parts_of([[data[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())]], path)
-            stream, sizes_in_ids = joined(parts, word, sizes, len(model.features) - 1)
+            ids, at_id, sizes_in_ids = text_ids(t, path)
+            stream, sizes_in_ids = np.insert(ids, np.concatenate([[0], at_id[1:]]), len(model.features) - 1), sizes_in_ids + 1
             logs, begins = model.log10_ids(stream, sizes_in_ids)
             spelled, kind_log, kind = token_logs(stream[1:], logs[1:], begins[1:], model)
             is_word = kind > 0
@@ -656,7 +675,7 @@ def score(df: DataFrame, is_training: Column, tokenizer: str | None = None) -> D
                     continue
                 if keys:
                     close()
-                for some, found in pieces(rows):
+                for some, found in pieces(rows, at_once=1_000_000):
                     yield scored(some, found)
 
     return ordered.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

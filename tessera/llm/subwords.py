@@ -175,7 +175,10 @@ class Kept(dict):
 
     def encode_all(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where those of each begin, with the end of the last. Each distinct chunk of the call is looked up once."""
-        data, ends = utf8_of(texts)
+        return self.encode_spans(*utf8_of(texts))
+
+    def encode_spans(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_all, of what utf8_of gives."""
         start = chunk_starts(data, ends, self.marks)
         edges = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
         chunks = pa.Array.from_buffers(pa.large_binary(), len(start), [None, edges, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
