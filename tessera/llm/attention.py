@@ -8,7 +8,7 @@ among all training words that begin in this class; its spelling, the product ove
 
 All is learned from the whole training corpus: counts of words and ids; what stands beside each id, from which the ids' features and classes follow; and gradients over
 windows that predict each id of each training text once. The weights start on a small sample and then go along gradients that are summed over
-partitions, each step on its share of the training texts, whose ids are written once.
+partitions, each step on its share of the training texts. All texts are read and encoded once; their ids are written, and counts, gradients and scores come from these.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common, subwords, textbytes
-from tessera.llm.token_files import pieces, runs
+from tessera.llm.token_files import runs
 
 #: Training texts that the weights start from, about, before the steps over all training texts; the number of these steps, and their rate.
 SAMPLE, STEPS, RATE = 1000, 6, 0.02
@@ -36,16 +37,24 @@ WINDOW, OVERLAP, WIDTH, CLASSES, STARTS = 16, 4, 16, 32, 16
 COLUMNS, SHARED, FEATURES = 64, 16, 24
 #: The weights in the mixture of counted words and of words met before in the text (the rest is spelled), and what is added to each id's count in its class.
 COUNTED, MET, ADDED = 0.7, 0.15, 0.5
-#: Bytes of texts whose words are counted together.
+#: Bytes of texts whose words are counted together; of neighbours, a quarter of the number.
 COUNT_AT_ONCE = 8 << 20
 #: Characters of a block of documents that meets the counts of its words, about.
 BLOCK = 24 << 20
+#: Hashes of words in a row, and those whose counts are added up in a task, about.
+HASHES, HASHES_AT_ONCE = 1 << 15, 500_000
 
 WEIGHTS = ("embed", "place", "q", "k", "v", "o", "out", "bias")
 #: Sums a row of chances, and of the chances of classes that begin a word or end the text.
 _BOTH = np.stack([np.ones(CLASSES), np.arange(CLASSES) < STARTS], 1).astype(np.float32)
 
 
+def bounded(x: np.ndarray, most: float) -> None:
+    """Cuts x off at -most and most, in place; to look whether anything is beyond is cheaper."""
+    if x.size and (x.max() > most or x.min() < -most):
+        np.clip(x, -most, most, out=x)
+
+
 @dataclass
 class Model:
     features: np.ndarray  # (ids, FEATURES); the last id is the end
@@ -79,12 +88,14 @@ class Model:
         """What attend gives from the inputs x of windows, with two products of weights made once: q by k (scaled), and v by o."""
         n, t = x.shape[:2]
         flat = x.reshape(-1, WIDTH)
-        s = (flat @ qk).reshape(n, t, WIDTH) @ x.transpose(0, 2, 1)
-        np.clip(s, -30, 30, out=s)
+        s = (flat @ qk).reshape(n, t, WIDTH) @ np.ascontiguousarray(x.transpose(0, 2, 1))
+        bounded(s, 30)
         np.exp(s, out=s)
         s *= causal
-        s *= (1 / (s.reshape(-1, t) @ np.ones(t, s.dtype))).reshape(n, t, 1)
-        return x + s @ (flat @ vo).reshape(n, t, WIDTH)
+        s /= (s.reshape(-1, t) @ np.ones((t, 1), s.dtype)).reshape(n, t, 1)
+        h = s @ (flat @ vo).reshape(n, t, WIDTH)
+        h += x
+        return h
 
     def log10_ids(self, ids: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log10 p of each id of a stream given those before it in its text, and log10 of the chance that a word begins, or the text ends, at it; the stream's first id is given, and has 0.
@@ -99,20 +110,24 @@ class Model:
         scored[1:, :OVERLAP] &= at[1:, :1] > at[:-1, -1:]  # unless it's a text's first window, the one before has scored these
         to_log = np.float32(np.log10(np.e))
         qk, vo, causal = (self.q @ self.k.T) * np.float32(WIDTH**-0.5), self.v @ self.o, np.tri(WINDOW, dtype=self.embed.dtype)
-        for s in range(0, len(at), 256):
-            a = at[s : s + 256]
-            x = (self.features[ids[a]] @ self.embed if table is None else table[ids[a]]) + self.place
-            h = self.states(x, qk, vo, causal)
-            keep = scored[s : s + 256]
-            logits = h[keep] @ self.out
+        kind = self.class_of[ids]
+        for s in range(0, len(at), 128):
+            a = at[s : s + 128]
+            read = ids.take(a.ravel())
+            x = (self.features.take(read, 0) @ self.embed if table is None else table.take(read, 0)).reshape(*a.shape, WIDTH)
+            x += self.place
+            keep = np.flatnonzero(scored[s : s + 128])
+            logits = self.states(x, qk, vo, causal).reshape(-1, WIDTH).take(keep, 0) @ self.out
             logits += self.bias
-            np.clip(logits, -40, 40, out=logits)
-            to = a[keep] + 1
-            y = ids[to]
-            chosen = logits[np.arange(len(y)), self.class_of[y]]
+            bounded(logits, 40)
+            to = a.ravel().take(keep) + 1
+            chosen = logits.ravel().take(np.arange(0, logits.size, CLASSES) + kind.take(to))
             total = np.log(np.exp(logits, out=logits) @ _BOTH)
-            out[to] = (chosen - total[:, 0]) * to_log + self.within[y]
-            begins[to] = (total[:, 1] - total[:, 0]) * to_log
+            out[to] = chosen - total[:, 0]
+            begins[to] = total[:, 1] - total[:, 0]
+        out *= to_log
+        out[1:] += self.within[ids[1:]]
+        begins *= to_log
         return out, begins
 
 
@@ -165,37 +180,41 @@ def gradients(m: Model, ids: np.ndarray, y: np.ndarray, real: np.ndarray) -> dic
     n, t = ids.shape
     kind = m.q.dtype
     scale, causal = kind.type(WIDTH**-0.5), np.tri(t, dtype=kind)
-    added = np.ones(max(t, WIDTH, CLASSES), kind)  # rows are added up by products, which are faster than sums along an axis
+    added = np.ones((max(t, WIDTH, CLASSES), 1), kind)  # rows are added up by products, which are faster than sums along an axis
     qk, vo = (m.q @ m.k.T) * scale, m.v @ m.o
     flat = lambda z: z.reshape(-1, z.shape[-1])
     deep = lambda z: z.reshape(n, t, -1)
-    f = m.features[ids.ravel()]
-    x = deep(f @ m.embed) + m.place[:t]
-    xt = x.transpose(0, 2, 1)
-    a = deep(flat(x) @ qk) @ xt
-    np.clip(a, -30, 30, out=a)
+    turned = lambda z: np.ascontiguousarray(z.transpose(0, 2, 1))
+    f = m.features.take(ids.ravel(), 0)
+    x = deep(f @ m.embed)
+    x += m.place[:t]
+    a = deep(flat(x) @ qk) @ turned(x)
+    bounded(a, 30)
     np.exp(a, out=a)
     a *= causal
-    a *= deep((1 / (flat(a) @ added[:t]))[:, None])
+    a /= deep(flat(a) @ added[:t])
     u = deep(flat(x) @ vo)
     mixed = a @ u
-    h = flat(x + mixed)
-    d = h @ m.out
-    d += m.bias
-    np.clip(d, -40, 40, out=d)
+    h = np.ones((n * t, WIDTH + 1), kind)  # the last column is the bias's
+    np.add(flat(x), flat(mixed), out=h[:, :WIDTH])
+    d = h @ np.concatenate([m.out, m.bias[None]])
+    bounded(d, 40)
     np.exp(d, out=d)
     counts = real.ravel().astype(kind)
-    d *= (counts / (d @ added[:CLASSES]))[:, None]
+    d *= counts[:, None] / (d @ added[:CLASSES])
     d.reshape(-1)[np.arange(0, d.size, CLASSES) + y.ravel()] -= counts
     dh = deep(d @ m.out.T)
-    du = a.transpose(0, 2, 1) @ dh
-    ds = dh @ u.transpose(0, 2, 1)
-    ds -= deep((flat(dh * mixed) @ added[:WIDTH])[:, None])
+    du = flat(a.transpose(0, 2, 1) @ dh)
+    ds = dh @ turned(u)
+    ds -= deep(flat(dh * mixed) @ added[:WIDTH])
     ds *= a
     there, back = flat(ds @ x), flat(ds.transpose(0, 2, 1) @ x)
-    dx = flat(dh) + flat(du) @ vo.T + there @ qk.T + back @ qk
-    by_qk, by_vo = flat(x).T @ there * scale, flat(x).T @ flat(du)
-    g = {"out": h.T @ d, "bias": np.ones(len(d), kind) @ d, "q": by_qk @ m.k, "k": by_qk.T @ m.q, "v": by_vo @ m.o.T, "o": m.v.T @ by_vo}
+    dx = du @ vo.T
+    dx += flat(dh)
+    dx += there @ qk.T
+    dx += back @ qk
+    by_qk, by_vo, by_out = flat(x).T @ there * scale, flat(x).T @ du, h.T @ d
+    g = {"out": by_out[:-1], "bias": by_out[-1], "q": by_qk @ m.k, "k": by_qk.T @ m.q, "v": by_vo @ m.o.T, "o": m.v.T @ by_vo}
     return g | {"place": (np.ones(n, kind) @ dx.reshape(n, -1)).reshape(t, -1), "embed": f.T @ dx}
 
 
@@ -317,14 +336,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def hashed(words: pa.Array) -> np.ndarray:
-    """The hash of each word, as textbytes gives it to words of a text."""
-    found = words.to_pylist()
-    size = np.array([len(w) for w in found])
-    end = np.cumsum(size)
-    return textbytes.span_hashes(np.frombuffer(b"".join(found), np.uint8), end - size, end)
-
-
 def subword_counts(counts: DataFrame, path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The count of each subword id, and how many words begin with it, from word counts."""
 
@@ -430,6 +441,154 @@ def streams(training: DataFrame, path: str, end: int, steps: int = STEPS) -> Dat
     return dealt.mapInArrow(run, "step int, ids binary, sizes binary")
 
 
+def word_hashes(stream: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, by its ids, and its place, in a stream of texts with an end before and after each."""
+    first = np.flatnonzero(begins[stream])
+    is_word = stream[first[:-1]] < len(begins) - 1
+    data = stream.astype(id_kind(len(begins) - 1))
+    at = first * data.itemsize
+    return textbytes.span_hashes(data.view(np.uint8), at[:-1][is_word], at[1:][is_word]), first[:-1][is_word]
+
+
+class Added:
+    """Sums by hash, from arrays of hashes and numbers."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = self.held = 0
+
+    def add(self, h: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((h, n))
+        self.waiting += len(h)
+        if self.waiting > max(1 << 20, self.held):
+            self.parts = [self.sums()]
+            self.waiting, self.held = 0, len(self.parts[0][0])
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes in order, and the sum of each."""
+        h, n = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        return h[first], np.add.reduceat(n[order], first) if len(h) else n
+
+
+ENCODED = "step int, block long, docs array<long>, ids binary, sizes binary, h binary, n binary, many long"
+
+
+def encoded(docs: DataFrame, path: str, end: int, steps: int = STEPS) -> DataFrame:
+    """docs(doc_id, text, training), read once, as rows of ENCODED.
+
+    step says what a row is: below steps, texts of training rows, as streams deals and gives them; steps, other texts; steps + 1, hashes of the words of a block, in order, and how often
+    the block's training texts have each; steps + 2, of a task, the counts of the ids and of those that words begin with in training texts. A block is what a task reads one
+    after the other, about BLOCK characters. A word is known by the hash of its ids where these tell words apart, else by that of its bytes (h).
+    """
+    kind, by_ids = id_kind(end), bool(subwords.marks_of(path))
+
+    def row(step: int, block: int, **told: object) -> pa.RecordBatch:
+        types = {"docs": pa.list_(pa.int64()), "ids": pa.binary(), "sizes": pa.binary(), "h": pa.binary(), "n": pa.binary(), "many": pa.int64()}
+        columns = [pa.array([step], pa.int32()), pa.array([block], pa.int64()), *(pa.array([told.get(c)], t) for c, t in types.items())]
+        return pa.RecordBatch.from_arrays(columns, names=["step", "block", *types])
+
+    def block_rows(words: Added, block: int) -> Iterator[pa.RecordBatch]:
+        h, n = words.sums()
+        for s in range(0, len(h), HASHES):
+            some = h[s : s + HASHES]
+            yield row(steps + 1, block, h=some.tobytes(), n=n[s : s + HASHES].tobytes(), many=len(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins, block = beginning(path), TaskContext.get().partitionId() << 32
+        total, first, words, size = np.zeros(end + 1, np.int64), np.zeros(end + 1, np.int64), Added(), 0
+        for rows in runs(batches):
+            found = common.texts(rows.column("text"))
+            t = textbytes.Texts(found, lower=True)
+            start, last, counts = t.words()
+            ids, at = ids_of_words(t.data, start, last, path)
+            at = at[np.concatenate([[0], np.cumsum(counts)])]
+            stream, sizes = np.insert(ids.astype(np.int64), np.repeat(at, 2)[1:-1], end), np.diff(at) + 2
+            h = word_hashes(stream, begins)[0] if by_ids else textbytes.span_hashes(t.data, start, last)
+            step = rows.column("step").to_numpy()
+            in_training = step < steps
+            u, word = np.unique(h, return_inverse=True)
+            words.add(u, np.bincount(word, np.repeat(in_training, counts), len(u)).astype(np.int64))
+            owner, word_owner, docs = np.repeat(step, sizes), np.repeat(step, counts), rows.column("doc_id")
+            for k in np.unique(step).tolist():
+                mine, some = step == k, stream[owner == k]
+                if k < steps:
+                    total += np.bincount(some, minlength=end + 1)
+                told = {"docs": docs.filter(pa.array(mine)).to_pylist(), "ids": some.astype(kind).tobytes(), "sizes": sizes[mine].astype("<i8").tobytes()}
+                yield row(k, block, **told, h=None if by_ids else h[word_owner == k].tobytes())
+            size += sum(map(len, found))
+            if size >= BLOCK:
+                yield from block_rows(words, block)
+                words, size, block = Added(), 0, block + 1
+        yield from block_rows(words, block)
+        if total.any():
+            total[end] //= 2  # a text has one before it, too
+            first[begins] = total[begins]  # such an id is a word's first
+            yield row(steps + 2, block, ids=total.tobytes(), sizes=first.tobytes())
+
+    dealt = F.when(F.col("training"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)).cast("int")).otherwise(steps)
+    return docs.select("doc_id", "text", dealt.alias("step")).mapInArrow(run, ENCODED)
+
+
+def added_ids(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The count of each id, and how many words begin with it, from what encoded gives of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size), np.int64)
+        for batch in batches:
+            for k, name in enumerate(("ids", "sizes")):
+                for x in batch.column(name):
+                    total[k] += np.frombuffer(x.as_py(), np.int64)
+        seen = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, *total[:, seen])], names=["id", "c", "first"])
+
+    found = rows.select("ids", "sizes").mapInArrow(run, "id long, c long, first long").groupBy("id").agg(F.sum("c").alias("c"), F.sum("first").alias("first")).toArrow()  # at most one row an id
+    out = np.zeros((2, size), np.int64)
+    out[:, found.column("id").to_numpy()] = found.column("c").to_numpy(), found.column("first").to_numpy()
+    return out[0], out[1]
+
+
+def block_counts(rows: DataFrame) -> DataFrame:
+    """block, h, n, many: the counts over all training texts of a block's words that these have, from what encoded gives of blocks; and, with block -1, how many distinct words they have."""
+    hashes = rows.agg(F.sum("many")).first()[0] or 0
+    shares = max(rows.sparkSession.sparkContext.defaultParallelism, common.ceil_div(hashes, HASHES_AT_ONCE))
+    edges = np.array([(k << 64) // shares for k in range(1, shares)], np.uint64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, h, n in zip(batch.column("block").to_pylist(), batch.column("h"), batch.column("n")):
+                h, n = np.frombuffer(h.as_py(), np.uint64), np.frombuffer(n.as_py(), np.int64)
+                cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+                parts = [(k, h[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                share, some, numbers = zip(*parts)
+                yield pa.RecordBatch.from_arrays([pa.array(share, pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(some, pa.binary()), pa.array(numbers, pa.binary())], names=["share", "block", "h", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, h, n, sizes = [], [], [], []
+        for batch in batches:
+            block += batch.column("block").to_pylist()
+            h += [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("h")]
+            n += [np.frombuffer(x.as_py(), np.int64) for x in batch.column("n")]
+        if not block:
+            return
+        u, word = np.unique(np.concatenate(h), return_inverse=True)
+        total = np.bincount(word, np.concatenate(n), len(u)).astype(np.int64)
+        told, at = [(-1, b"", b"", int((total > 0).sum()))], 0
+        for b, some in zip(block, h):
+            c = total[word[at : at + len(some)]]
+            at += len(some)
+            known = c > 0
+            told.append((b, some[known].tobytes(), c[known].tobytes(), 0))
+        for s in range(0, len(told), 64):
+            columns = zip(*told[s : s + 64])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["block", "h", "n", "many"])
+
+    dealt = rows.select("block", "h", "n").mapInArrow(deal, "share int, block long, h binary, n binary")
+    return dealt.repartition(shares, "share").mapInArrow(add, "block long, h binary, n binary, many long")
+
+
 def id_kind(end: int) -> str:
     return "<u2" if end < 1 << 16 else "<u4"
 
@@ -451,13 +610,23 @@ def counted_neighbours(rows: DataFrame, id_counts: np.ndarray) -> tuple[np.ndarr
     column, end = column_of(id_counts), len(id_counts) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(column) * 2 * COLUMNS, np.int32)  # of a task
+        total, waiting, size = np.zeros(len(column) * 2 * COLUMNS, np.int32), [], 0  # of a task
+
+        def count() -> None:
+            nonlocal waiting, size
+            if waiting:
+                total[:] += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.int32)
+            waiting, size = [], 0
+
         for stream, sizes in read_streams(batches, end):
             inside = np.ones(max(len(stream) - 1, 0), bool)
             inside[np.cumsum(sizes)[:-1] - 1] = False
-            a, b = stream[:-1][inside], stream[1:][inside]
-            np.add.at(total, a * (2 * COLUMNS) + column[b], 1)
-            np.add.at(total, b * (2 * COLUMNS) + COLUMNS + column[a], 1)
+            row, by = stream * (2 * COLUMNS), column[stream]
+            waiting += [(row[:-1] + by[1:])[inside], (row[1:] + (by[:-1] + COLUMNS))[inside]]
+            size += 2 * len(stream)
+            if size >= COUNT_AT_ONCE >> 2:
+                count()
+        count()
         codes = np.flatnonzero(total)
         for s in range(0, len(codes), 1 << 16):
             some = codes[s : s + (1 << 16)]
@@ -516,22 +685,28 @@ def fit(training: DataFrame, counts: DataFrame, n_docs: int, path: str, sample:
     begins = beginning(path)
     id_counts, first = subword_counts(counts, path, len(begins))
     id_counts[-1] += n_docs
+    where = common.new_path(training.sparkSession, "streams")
+    dealt = streams(training, path, len(id_counts) - 1)
+    dealt.write.partitionBy("step").parquet(where)
+    m = learned(training, training.sparkSession.read.schema(dealt.schema).parquet(where), id_counts, path, sample)
+    common.drop(training.sparkSession, where)
+    return m, class_totals(first, m.class_of)
+
+
+def learned(training: DataFrame, dealt: DataFrame, id_counts: np.ndarray, path: str, sample: int = SAMPLE) -> Model:
+    """The model of training(doc_id, text), given its streams and the counts of its ids."""
+    begins, n_docs = beginning(path), int(id_counts[-1])
     share = min(1.0, sample / max(n_docs, 1))
     spread = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
     rows = training.filter("text IS NOT NULL").filter(spread < int(1_000_000 * share)).select("doc_id", "text").toArrow()
     got = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()), key=lambda r: (r[0] is None, r))
     rng = np.random.default_rng(0)
-    spark, where = training.sparkSession, common.new_path(training.sparkSession, "streams")
-    dealt = streams(training, path, len(id_counts) - 1)
-    dealt.write.partitionBy("step").parquet(where)  # encoded once, read once for the neighbours and once for the steps together
-    dealt = spark.read.schema(dealt.schema).parquet(where)
     features = features_of(*counted_neighbours(dealt, id_counts), len(id_counts))
     m = untrained(features, classes(features, begins, id_counts, rng), id_counts, rng)
     stream, sizes = segment_stream([text for _, text in got], path, len(id_counts) - 1)
     train(m, np.split(stream, np.cumsum(sizes)[:-1]))
-    train_on_all(m, dealt)
-    common.drop(spark, where)
-    return m, class_totals(first, m.class_of)
+    train_on_all(m, dealt)  # the streams are read once for the neighbours and once for the steps together
+    return m
 
 
 def class_totals(first: np.ndarray, class_of: np.ndarray) -> np.ndarray:
@@ -542,13 +717,12 @@ def class_totals(first: np.ndarray, class_of: np.ndarray) -> np.ndarray:
 
 
 def met_before(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The share of each word among the words before it in its text."""
-    keys = textbytes.owned(words, sizes)
-    order = np.argsort(keys, kind="stable")
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    place = np.arange(len(keys))
-    times = np.empty(len(keys), np.int64)
+    """The share of each word (numbers below 2**31) among the words before it in its text."""
+    place, text = np.arange(len(words)), textbytes.owners(sizes)
+    order = np.sort(words.astype(np.int64) << 32 | place) & 0xFFFFFFFF  # by word, then by place
+    new = np.ones(len(words), bool)
+    new[1:] = (words[order][1:] != words[order][:-1]) | (text[order][1:] != text[order][:-1])
+    times = np.empty(len(words), np.int64)
     times[order] = place - np.maximum.accumulate(np.where(new, place, 0))
     return times / np.maximum(place - np.repeat(np.cumsum(sizes) - sizes, sizes), 1)
 
@@ -574,56 +748,36 @@ def score(df: DataFrame, is_training: Column, tokenizer: str | None = None) -> D
     common.small_batches(spark)
     path = tokenizer or subwords.default_path()
     docs = df.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("training"))
-    training = docs.filter("training")
-    counts, counts_path = common.written(word_counts(training), "words")
-    size = docs.agg(F.sum(F.col("training").cast("long")).alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    n_docs = size["n"] or 0
-    seen = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = (seen["n"] or 0) + n_docs, seen["v"] + (n_docs > 0)
-    held = spark.sparkContext.broadcast(fit(training, counts, n_docs, path))
-    blocks = max(spark.sparkContext.defaultParallelism, common.ceil_div(size["chars"] or 0, BLOCK))
-    placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
-
-    def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            block = batch.column("block").to_numpy()
-            for b in np.unique(block).tolist():
-                for _, some in pieces(batch.filter(pa.array(block == b))):
-                    t = textbytes.Texts(some, lower=True)
-                    start, end, _ = t.words()
-                    found.setdefault(b, []).append(np.unique(textbytes.span_hashes(t.data, start, end)))
-                if len(found[b]) > 32:
-                    found[b] = [np.unique(np.concatenate(found[b]))]
-        for b, parts in found.items():
-            h = np.unique(np.concatenate(parts)).view(np.int64)
-            for s in range(0, len(h), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[s : s + (1 << 16)]), b, np.int32)), pa.array(h[s : s + (1 << 16)])], names=["block", "h"])
-
-    def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(hashed(batch.column("word")).view(np.int64)), batch.column("c")], names=["h", "c"])
-
-    asked = placed.repartition(4 * blocks, "block").mapInArrow(block_words, "block int, h long")
-    known, known_path = common.written(asked.join(counts.mapInArrow(hash_rows, "h long, c long"), "h").select("block", "h", "c"), "block-words")
-    common.drop(spark, counts_path)
-    empty = {"doc_id": "long", "text": "string", "h": "long", "c": "long"}
-    lit = lambda *names: [F.lit(None).cast(empty[c]).alias(c) for c in names]
-    both = known.select("block", F.lit(0).alias("kind"), *lit("doc_id", "text"), "h", "c").union(placed.select("block", F.lit(1).alias("kind"), "doc_id", "text", *lit("h", "c")))
-    ordered = both.repartition(4 * blocks, "block").sortWithinPartitions("block", "kind")
+    begins = beginning(path)
+    end, where = len(begins) - 1, common.new_path(spark, "encoded")
+    encoded(docs, path, end).write.partitionBy("step").parquet(where)
+    rows = spark.read.schema(ENCODED).parquet(where)
+    known, known_path = common.written(block_counts(rows.filter(F.col("step") == STEPS + 1)), "block-words")
+    common.drop(spark, f"{where}/step={STEPS + 1}")
+    id_counts, first = added_ids(rows.filter(F.col("step") == STEPS + 2), len(begins))
+    n_docs = int(id_counts[end])
+    n, v = int(first.sum()), (known.agg(F.sum("many")).first()[0] or 0) + (n_docs > 0)  # each end is one, too
+    model = learned(docs.filter("training"), rows.filter(F.col("step") < STEPS), id_counts, path)
+    first[end] = 0
+    held = spark.sparkContext.broadcast((model, class_totals(first, model.class_of)))
+    none = lambda *names: [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names]
+    words = known.filter("block >= 0").select("block", F.lit(0).alias("kind"), *none("docs", "ids", "sizes"), "h", "n")
+    texts = rows.filter(F.col("step") <= STEPS).select("block", F.lit(1).alias("kind"), "docs", "ids", "sizes", "h", "n")
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, rows.filter(F.col("step") <= STEPS).select("block").distinct().count())
+    ordered = words.union(texts).repartition(tasks, "block").sortWithinPartitions("block", "kind")
     scale = n + 0.1 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, totals = held.value
+        begins_word = beginning(path)
         at, keys, values = None, [], []
         table_h = table_c = np.zeros(0, np.int64)
 
         def close() -> None:
             nonlocal table_h, table_c, keys, values
             table_h = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            order = np.argsort(table_h.view(np.uint64))
-            table_h, table_c = table_h[order].view(np.uint64), (np.concatenate(values) if values else np.zeros(0, np.int64))[order]
+            order = np.argsort(table_h)
+            table_h, table_c = table_h[order], (np.concatenate(values) if values else np.zeros(0, np.int64))[order]
             keys, values = [], []
 
         def count_of(h: np.ndarray) -> np.ndarray:
@@ -632,22 +786,22 @@ def score(df: DataFrame, is_training: Column, tokenizer: str | None = None) -> D
             k = np.minimum(np.searchsorted(table_h, h), len(table_h) - 1)
             return np.where(table_h[k] == h, table_c[k], 0)
 
-        def scored(rows: pa.RecordBatch, found: list[str]) -> pa.RecordBatch:
-            t = textbytes.Texts(found, lower=True)
-            start, end, sizes = t.words()
-            h = textbytes.span_hashes(t.data, start, end)
+        def scored(docs: list, stream: np.ndarray, sizes_in_ids: np.ndarray, told: bytes | None) -> pa.RecordBatch:
+            h, place = word_hashes(stream, begins_word)
+            h = h if told is None else np.frombuffer(told, np.uint64)
+            starts = np.cumsum(sizes_in_ids) - sizes_in_ids
+            sizes = np.diff(np.append(np.searchsorted(place, starts), len(place)))
             u, word = np.unique(h, return_inverse=True)
             c = count_of(u)[word]
             base = textbytes.sums(np.log10((c + 0.1) / scale), sizes) + np.log10((n_docs + 0.1) / scale)
-            ids, at_id, sizes_in_ids = text_ids(t, path)
-            stream, sizes_in_ids = np.insert(ids, np.concatenate([[0], at_id[1:]]), len(model.features) - 1), sizes_in_ids + 1
+            stream, sizes_in_ids = np.delete(stream, starts[1:]), sizes_in_ids - 1  # a text's end is before the next one
             logs, begins = model.log10_ids(stream, sizes_in_ids)
             spelled, kind_log, kind = token_logs(stream[1:], logs[1:], begins[1:], model)
             is_word = kind > 0
             counted, met = np.zeros(len(kind)), np.zeros(len(kind))
             counted[is_word] = c / np.maximum(totals[kind[is_word]], 1)
             counted[~is_word] = 1.0  # the end is alone in its class
-            met[is_word] = met_before(h, sizes)
+            met[is_word] = met_before(word, sizes)
             after = np.ones(len(kind), bool)
             after[np.cumsum(sizes + 1) - (sizes + 1)] = False  # a text's first token has none before it
             by_count, by_text = (COUNTED if n else 0.0), np.where(after, MET, 0.0)
@@ -657,26 +811,23 @@ def score(df: DataFrame, is_training: Column, tokenizer: str | None = None) -> D
             mixed = np.where(likely > 1e-290, mixed, np.log10(by_spelling) + spelled)
             known_n = textbytes.sums(c > 0, sizes) + (n_docs > 0)
             return pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array((sizes + 1).astype(np.int64)), pa.array(known_n.astype(np.int64)), pa.array(np.full(len(found), n, np.int64)), pa.array(base), pa.array(textbytes.sums(mixed, sizes + 1))],
+                [pa.array(docs, pa.int64()), pa.array((sizes + 1).astype(np.int64)), pa.array(known_n.astype(np.int64)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base), pa.array(textbytes.sums(mixed, sizes + 1))],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
         for batch in batches:
-            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
-                if block[a] != at:
-                    at, keys, values = block[a], [], []
+            for k, (block, kind) in enumerate(zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist())):
+                if block != at:
+                    at, keys, values = block, [], []
                     table_h = table_c = np.zeros(0, np.int64)
-                rows = batch.slice(a, b - a)
-                if not kind[a]:
-                    keys.append(rows.column("h").to_numpy())
-                    values.append(rows.column("c").to_numpy())
+                if not kind:
+                    keys.append(np.frombuffer(batch.column("h")[k].as_py(), np.uint64))
+                    values.append(np.frombuffer(batch.column("n")[k].as_py(), np.int64))
                     continue
                 if keys:
                     close()
-                for some, found in pieces(rows, at_once=1_000_000):
-                    yield scored(some, found)
+                stream, sizes = next(read_streams([batch.slice(k, 1)], end))
+                yield scored(batch.column("docs")[k].as_py(), stream, sizes, batch.column("h")[k].as_py())
 
     return ordered.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -1,8 +1,10 @@
+import json
 import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +194,62 @@ def test_all_ids_of_all_training_texts_are_looked_at(spark):
     assert attention.summed_gradients(model, attention.streams(df, path, end))[1] == sum(len(x) - 1 for x in whole)
 
 
+def test_lm_texts_are_read_twice_at_most(spark):
+    texts = [f"red green stone {'blue ' * (k % 7)}" for k in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, plain string").repartition(3).select("doc_id", told.asNondeterministic()("plain").alias("text"))
+    assert attention.score(df, F.col("doc_id") % 2 == 0).count() == 40
+    assert 40 <= read.value <= 80  # once for ids and counts, once for the texts that the weights start from
+
+
+def test_lm_counts_come_from_written_ids(spark, monkeypatch):
+    path = subwords.default_path()
+    begins = attention.beginning(path)
+    end = len(begins) - 1
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["red", "gReen", "blue,", "thorbleandhe", "é", "漢字😀", "stone\tone"], n)) for n in (0, 1, 5, 40, 300, 2000)] + [None]
+    df = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "doc_id long, text string, training boolean").repartition(3)
+    rows = attention.encoded(df, path, end).cache()
+    in_text = [attention.words_of(t or "") for t in texts]
+    key = {w: attention.word_hashes(np.array([end, *np.frombuffer(attention.encoded_words([w], path)[0], "<u4"), end], np.int64), begins)[0].item() for t in in_text for w in t}
+    assert len(set(key.values())) == len(key)
+    trained = Counter(w for t in in_text[::2] for w in t)
+    for batch in rows.filter(F.col("step") <= attention.STEPS).collect():
+        stream, sizes = next(attention.read_streams([pa.RecordBatch.from_pydict({"ids": [bytes(batch.ids)], "sizes": [bytes(batch.sizes)]})], end))
+        for i, x in zip(batch.docs, np.split(stream, np.cumsum(sizes)[:-1])):
+            assert attention.word_hashes(x, begins)[0].tolist() == [key[w] for w in in_text[i]] and (batch.step == attention.STEPS) == (i % 2 == 1)
+    ids = Counter(i for t in in_text[::2] for w in t for i in np.frombuffer(attention.encoded_words([w], path)[0], "<u4").tolist()) + Counter({end: 4})
+    total, first = attention.added_ids(rows.filter(F.col("step") == attention.STEPS + 2), end + 1)
+    assert {i: c for i, c in enumerate(total.tolist()) if c} == ids and first.sum() == trained.total() + 4
+    monkeypatch.setattr(attention, "HASHES_AT_ONCE", 3)
+    known = attention.block_counts(rows.filter(F.col("step") == attention.STEPS + 1)).collect()
+    assert sum(r.many for r in known) == len(trained)
+    of: dict = {}
+    for r in known:
+        if r.block >= 0:
+            of.setdefault(r.block, {}).update(zip(np.frombuffer(r.h, np.uint64).tolist(), np.frombuffer(r.n, np.int64).tolist()))
+    want = {key[w]: c for w, c in trained.items()}
+    assert set().union(*of.values()) == set(want) and all(want[h] == c for x in of.values() for h, c in x.items())
+
+
+def test_lm_words_with_equal_ids_are_told_apart(spark, tmp_path):
+    with open(subwords.default_path(), encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "nfc.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    df = spark.createDataFrame([(0, "\u00e9 \u00e9 \u00e9 x"), (1, "e\u0301 x")], "doc_id long, text string")
+    one, two = sorted(attention.score(df, F.col("doc_id") == 0, str(path)).collect())
+    assert (one.n_known, two.n_known, one.n_tokens, two.n_tokens) == (5, 2, 5, 3)
+    assert np.isclose(two.base_score, math.log10(0.1 / 5.4) + 2 * math.log10(1.1 / 5.4))  # N 5, V 3
+
+
 def test_segments_leave_no_text_out():
     rng = np.random.default_rng(3)
     for n in (0, 1, 12, 13, 100, 1000):
