@@ -41,8 +41,8 @@ COUNTED, MET, ADDED = 0.7, 0.15, 0.5
 COUNT_AT_ONCE = 8 << 20
 #: Characters of a block of documents that meets the counts of its words, about.
 BLOCK = 24 << 20
-#: Hashes of words in a row, and those whose counts are added up in a task, about.
-HASHES, HASHES_AT_ONCE = 1 << 15, 500_000
+#: Ids and hashes of words in a row, about, as Spark hands 256 rows at once to Python; and hashes whose counts are added up together.
+IDS, HASHES, HASHES_AT_ONCE = 1 << 15, 1 << 12, 200_000
 
 WEIGHTS = ("embed", "place", "q", "k", "v", "o", "out", "bias")
 #: Sums a row of chances, and of the chances of classes that begin a word or end the text.
@@ -516,8 +516,12 @@ def encoded(docs: DataFrame, path: str, end: int, steps: int = STEPS) -> DataFra
                 mine, some = step == k, stream[owner == k]
                 if k < steps:
                     total += np.bincount(some, minlength=end + 1)
-                told = {"docs": docs.filter(pa.array(mine)).to_pylist(), "ids": some.astype(kind).tobytes(), "sizes": sizes[mine].astype("<i8").tobytes()}
-                yield row(k, block, **told, h=None if by_ids else h[word_owner == k].tobytes())
+                names, hashes, n, of = docs.filter(pa.array(mine)).to_pylist(), h[word_owner == k], sizes[mine], counts[mine]
+                at, word_at = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(of)])
+                cuts = np.flatnonzero(np.diff(at[:-1] // IDS, prepend=-1)).tolist()  # before the first text that begins in each IDS
+                for a, b in zip(cuts, [*cuts[1:], len(n)]):
+                    told = {"docs": names[a:b], "ids": some[at[a] : at[b]].astype(kind).tobytes(), "sizes": n[a:b].astype("<i8").tobytes()}
+                    yield row(k, block, **told, h=None if by_ids else hashes[word_at[a] : word_at[b]].tobytes())
             size += sum(map(len, found))
             if size >= BLOCK:
                 yield from block_rows(words, block)
@@ -595,6 +599,7 @@ def id_kind(end: int) -> str:
 
 def read_streams(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     kind = id_kind(end)
+    _encoders.clear()  # this worker may have encoded texts before; it has ids now
     for batch in batches:
         for ids, sizes in zip(batch.column("ids"), batch.column("sizes")):
             yield np.frombuffer(ids.as_py(), kind).astype(np.int64), np.frombuffer(sizes.as_py(), "<i8")
